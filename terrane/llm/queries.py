@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from terrane.llm import sql
 from terrane.llm.common import table
+from terrane.llm.substring_dedup import dedup_substrings
+from terrane.llm.suffix_dedup import dedup_bytes
 from terrane.llm.topk_search import exact_topk
 from terrane.llm.url_reputation import Rule, judge_urls
 from terrane.llm.warc import round_trip
@@ -31,5 +33,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), outcomes, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_warc, op5_url_filter)}
-ORACLE = {k: v for k, v in {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS}.items() if v}
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_substrings(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_bytes(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk_search, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup)}
+ORACLE = {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS}
