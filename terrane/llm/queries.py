@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from terrane.llm import sql
 from terrane.llm.common import table
+from terrane.llm.decontaminate import contamination
+from terrane.llm.quality_classifier import grade_documents, grade_of
 from terrane.llm.substring_dedup import dedup_substrings
 from terrane.llm.suffix_dedup import dedup_bytes
 from terrane.llm.topk_search import exact_topk
@@ -43,5 +45,17 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk_search, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup)}
-ORACLE = {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS}
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest, "contaminated")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings = table(spark, sf_dir, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return grade_documents(table(spark, sf_dir, "documents"), ratings)
+
+
+_ALL = (op1_topk_search, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup, op8_decontamination, op9_quality_classifier)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE = {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS, "op8_decontamination": sql.CONTAMINATION}

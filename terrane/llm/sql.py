@@ -81,3 +81,30 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
        sha256(coalesce(kept, '')) AS kept_sha256
 FROM w LEFT JOIN k USING (doc_id)
 """
+
+CONTAMINATION = rf"""
+WITH b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), bw AS (
+  SELECT DISTINCT item, least(8, len(ws)) AS n, array_to_string(ws[i:i + least(8, len(ws)) - 1], ' ') AS k
+  FROM b, unnest(range(1, len(ws) - least(8, len(ws)) + 2)) AS t(i) WHERE len(ws) > 0
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+  FROM documents
+), dw AS (
+  SELECT doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') AS k
+  FROM d, (SELECT DISTINCT n FROM bw), unnest(range(1, len(ws) - n + 2)) AS t(i)
+), h AS (
+  SELECT doc_id, i, n, item FROM dw JOIN bw USING (n, k)
+), p AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM h, unnest(range(0, n)) AS t(j) GROUP BY doc_id
+), s AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
