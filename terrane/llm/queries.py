@@ -9,12 +9,17 @@ from terrane.llm import sql
 from terrane.llm.common import table
 from terrane.llm.decontaminate import contamination
 from terrane.llm.quality_classifier import grade_documents, grade_of
+from terrane.llm.sentencepiece_sampling import load_vocabulary
+from terrane.llm.sentencepiece_sampling import round_trip as piece_round_trip
 from terrane.llm.substring_dedup import dedup_substrings
 from terrane.llm.suffix_dedup import dedup_bytes
 from terrane.llm.topk_search import exact_topk
+from terrane.llm.toxicity import toxicity
 from terrane.llm.url_reputation import Rule, judge_urls
 from terrane.llm.warc import round_trip
 
+#: The vocabulary of op3, read on the driver.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 URL_RULES = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/")]
 
 
@@ -25,6 +30,14 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors, F.col("vec_id") % 100 == 0, k=10)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_round_trip(table(spark, sf_dir, "documents"), load_vocabulary(PIECES))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -56,6 +69,6 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(table(spark, sf_dir, "documents"), ratings)
 
 
-_ALL = (op1_topk_search, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup, op8_decontamination, op9_quality_classifier)
+_ALL = (op1_topk_search, op2_toxicity, op3_sentencepiece, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup, op8_decontamination, op9_quality_classifier)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLE = {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS, "op8_decontamination": sql.CONTAMINATION}
