@@ -8,9 +8,9 @@ joins an insult or threat with a person named nearby. What comes out is a set of
 times the log of one plus the number of clauses that have it: a word alone, negated or quoted, counts less.
 
 Fitting uses at most FIT_ROWS labelled rows outside the held-out third (those whose ids have the least hash). The
-lexicon is a seed list and stems found greedily: the stem that explains most toxic texts not yet explained, if few
-other texts have it, is an insult; texts that it explains are set aside, so what copies of one text share adds nothing.
-The weights have the grammar's own as prior means.
+lexicon is a seed list and stems: one that several toxic texts have which are no copies of each other, and few other
+texts, is an insult; less precise ones that toxic texts without an insult have are slurs, with weights of their own. The
+weights have the grammar's own as prior means.
 
 Defined results: null and empty texts have no clauses and the score of the intercept; a null id is neither held out nor
 used to fit. Rows are neither merged nor dropped. Without toxic labels the seeds and prior weights stand.
@@ -32,11 +32,12 @@ from terrane.llm.common import FOLDED, Rolling, Words, byte_symbols, cut, slices
 from terrane.llm.quality_classifier import labelled_sample
 
 FIT_ROWS, PREDICT = 10_000, 0.7
-#: A stem is an insult if so many unexplained toxic texts have it and it is so precise on them.
-STEM_TEXTS, STEM_PRECISION, STEMS = 4, 0.9, 400
+#: A stem is an insult if so many toxic texts, no two of them near copies, have it and so few other texts; a less
+#: precise one is a slur if it helps with toxic texts that have no insult.
+STEM_TEXTS, STEM_PRECISION, SLUR_GAIN, SLUR_PRECISION = 5, 0.95, 3, 0.5
 #: Bytes of the stems; 0 is the whole word.
 STEM_BYTES = (0, 4, 5, 6, 7, 8, 9)
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, SLUR, TARGET, NEGATION, REPORT = range(7)
 #: The seeds of each tag.
 SEEDS = {
     INSULT: "idiot idiots moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown vermin imbecile idiota estúpido estúpida imbécil basura inútil asqueroso crétin débile ordure minable stupide blöd dumm abschaum versager widerlich",
@@ -97,8 +98,8 @@ class Aimed:
 
 
 #: (tag, negated, reported, aimed) of each label, and the grammar's weights.
-LABELS = [(t, *x) for t in (INSULT, THREAT) for x in itertools.product((False, True), repeat=3)]
-PRIOR = np.array([(1.6 if t == INSULT else 0.2) * (0.4 if neg else 1) * (0.5 if said else 1) + (1.0 if aimed else 0) * (0 if neg else 1) for t, neg, said, aimed in LABELS])
+LABELS = [(t, *x) for t in (INSULT, THREAT, SLUR) for x in itertools.product((False, True), repeat=3)]
+PRIOR = np.array([{INSULT: 1.6, THREAT: 0.2, SLUR: 0.8}[t] * (0.4 if neg else 1) * (0.5 if said else 1) + (1.0 if aimed else 0) * (0 if neg else 1) for t, neg, said, aimed in LABELS])
 
 
 class Composed:
@@ -114,7 +115,7 @@ class Composed:
         for tag in tags:
             key = (state, tag)
             if key not in self.table:
-                label = (tag,) if tag in (INSULT, THREAT) else ()
+                label = (tag,) if INSULT <= tag <= SLUR else ()
                 a, label = Negation.step(state[0], tag, label)
                 b, label = Reported.step(state[1], tag, label)
                 c, out = Aimed.step(state[2], tag, label)
@@ -171,10 +172,11 @@ class Lookup:
 @dataclass
 class Model:
     stems: np.ndarray
+    slurs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     weights: np.ndarray = field(default_factory=lambda: np.concatenate([PRIOR, [-4.0]]))
 
     def __post_init__(self):
-        hashes, tags = [*self.stems], [INSULT] * len(self.stems)
+        hashes, tags = [*self.stems, *self.slurs], [INSULT] * len(self.stems) + [SLUR] * len(self.slurs)
         for tag, text in SEEDS.items():
             for w in text.split():
                 hashes.append(word_hash(w))
@@ -189,9 +191,9 @@ class Model:
         tag = np.zeros(len(words.hash), np.uint8)
         for at, h in text.stems():
             at, value = self.lookup.find(at, h)
-            tag[at] = np.where(tag[at] == 0, value, tag[at])
+            tag[at] = np.where((tag[at] == OTHER) | (value == INSULT), value, tag[at])
         out = np.zeros((len(words.count), len(LABELS)))
-        hot = np.flatnonzero((tag == INSULT) | (tag == THREAT))
+        hot = np.flatnonzero((tag >= INSULT) & (tag <= SLUR))
         if len(hot):
             clause = np.concatenate([[0], np.cumsum(_BREAK[words.raw])])[words.start] + words.row
             some = np.unique(clause[hot])
@@ -209,39 +211,50 @@ class Model:
 # --- fitting ----------------------------------------------------------------------------------------------------------
 
 
-def choose_stems(rows: np.ndarray, stem: np.ndarray, toxic: np.ndarray, n_stems: int) -> list[int]:
-    """Greedy cover: (rows, stem) are the pairs of text and stem, each once."""
-    open_ = toxic.copy()
-    clean = np.bincount(stem[~toxic[rows]], minlength=n_stems)
-    order = np.argsort(stem, kind="stable")
-    rows, edge = rows[order], np.searchsorted(stem[order], np.arange(n_stems + 1))
-    left = np.bincount(stem[toxic[np.asarray(rows)[np.argsort(order)]]], minlength=n_stems) if n_stems else np.zeros(0)
+def choose_stems(rows: np.ndarray, stem: np.ndarray, toxic: np.ndarray, n_stems: int) -> tuple[list[int], list[int]]:
+    """Insults and slurs: (rows, stem) are the pairs of text and stem, each once."""
+    order = np.lexsort((rows, stem))
+    rows, stem = rows[order], stem[order]
+    edge = np.searchsorted(stem, np.arange(n_stems + 1))
+    seen = np.bincount(stem[toxic[rows]], minlength=n_stems)
+    clean = np.bincount(stem, minlength=n_stems) - seen
     by_row = np.argsort(rows, kind="stable")
-    stem_by_row, row_edge = stem[order][by_row], np.searchsorted(rows[by_row], np.arange(len(toxic) + 1))
-    chosen = []
-    while len(chosen) < STEMS and n_stems:
-        good = (left >= STEM_TEXTS) & (left >= STEM_PRECISION * (left + clean))
-        if not good.any():
-            break
-        best = int(np.argmax(np.where(good, left - 2.0 * clean, -np.inf)))
-        chosen.append(best)
-        for r in rows[edge[best] : edge[best + 1]]:
-            if open_[r]:
-                open_[r] = False
-                np.subtract.at(left, stem_by_row[row_edge[r] : row_edge[r + 1]], 1)
-    return chosen
-
-
-def fit_weights(counts: np.ndarray, toxic: np.ndarray, rounds: int = 400, spread: float = 2.0) -> np.ndarray:
-    """Logistic regression on the labels' logs with the grammar's weights as prior means (deviation `spread`)."""
+    of_row = np.searchsorted(rows[by_row], np.arange(len(toxic) + 1))
+    stems_of = {r: set(stem[by_row[of_row[r] : of_row[r + 1]]].tolist()) for r in np.flatnonzero(toxic).tolist()}
+
+    def independent(k: int) -> bool:
+        """Whether enough toxic texts have the stem that share less than half of their stems with the texts before."""
+        apart: list[set[int]] = []
+        for r in rows[edge[k] : edge[k + 1]].tolist():
+            if toxic[r] and all(len(stems_of[r] & x) < 0.5 * len(stems_of[r] | x) for x in apart):
+                apart.append(stems_of[r])
+                if len(apart) >= STEM_TEXTS:
+                    return True
+        return False
+
+    # more than chance gives one of so many stems
+    base = max(1e-3, min(0.5, toxic.mean()))
+    enough = seen >= max(STEM_TEXTS, (np.log(max(1, n_stems)) + 4) / -np.log(base))
+    insults = [k for k in np.flatnonzero(enough & (seen >= STEM_PRECISION * (seen + clean))).tolist() if independent(k)]
+    left = stems_of.keys() - {r for k in insults for r in rows[edge[k] : edge[k + 1]].tolist()}
+    open_ = np.zeros(len(toxic), bool)
+    open_[list(left)] = True
+    gain = np.bincount(stem[open_[rows]], minlength=n_stems)
+    slurs = [k for k in np.flatnonzero(enough & (gain >= SLUR_GAIN) & (seen >= SLUR_PRECISION * (seen + clean))).tolist() if independent(k)]
+    return insults, sorted(set(slurs) - set(insults))
+
+
+def fit_weights(counts: np.ndarray, toxic: np.ndarray, rounds: int = 30, spread: float = 3.0) -> np.ndarray:
+    """Logistic regression on the labels' logs with the grammar's weights as prior means (deviation `spread`), by Newton's method."""
     x = np.column_stack([np.log1p(counts), np.ones(len(counts))])
     prior = np.concatenate([PRIOR, [-4.0]])
-    w, m, v = prior.copy(), np.zeros(len(prior)), np.zeros(len(prior))
-    for t in range(1, rounds + 1):
+    w = prior.copy()
+    for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -60, 60)))
-        g = x.T @ (p - toxic) + (w - prior) / spread**2
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        slope = x.T @ (p - toxic) + (w - prior) / spread**2
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.eye(len(w)) / spread**2
+        step = np.linalg.solve(curve, slope)
+        w = w - step * min(1.0, 2.0 / max(1e-9, np.abs(step).max()))
     return w
 
 
@@ -284,8 +297,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
         return Model(np.zeros(0, np.uint64))
     each = [np.frombuffer(x.as_buffer(), np.int32) for x in got.column("stems")]
     pair_rows = np.repeat(np.arange(len(each)), [len(x) for x in each])
-    chosen = choose_stems(pair_rows, np.concatenate(each), toxic, len(found))
-    model = Model(found[chosen])
+    insults, slurs = choose_stems(pair_rows, np.concatenate(each), toxic, len(found))
+    model = Model(found[insults], found[slurs])
     told = docs.sparkSession.sparkContext.broadcast(model)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +308,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Mo
 
     got = sample.mapInArrow(counted, "toxic boolean, counts binary").toArrow()
     counts = np.stack([np.frombuffer(x.as_buffer(), np.float64) for x in got.column("counts")])
-    return Model(model.stems, fit_weights(counts, got.column("toxic").to_numpy().astype(float)))
+    return Model(model.stems, model.slurs, fit_weights(counts, got.column("toxic").to_numpy().astype(float)))
 
 
 def held_out(doc_id: Column) -> Column:
