@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.llm import sql
 from terrane.llm.common import table
 from terrane.llm.decontaminate import contamination
+from terrane.llm.jaccard_join import near_duplicates
 from terrane.llm.quality_classifier import grade_documents, grade_of
 from terrane.llm.sentencepiece_sampling import load_vocabulary
 from terrane.llm.sentencepiece_sampling import round_trip as piece_round_trip
@@ -69,6 +70,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(table(spark, sf_dir, "documents"), ratings)
 
 
-_ALL = (op1_topk_search, op2_toxicity, op3_sentencepiece, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup, op8_decontamination, op9_quality_classifier)
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+_ALL = (op1_topk_search, op2_toxicity, op3_sentencepiece, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup, op8_decontamination, op9_quality_classifier, op10_jaccard_join)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE = {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS, "op8_decontamination": sql.CONTAMINATION}
+ORACLE = {"op1_topk_search": sql.TOPK, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS, "op8_decontamination": sql.CONTAMINATION, "op10_jaccard_join": sql.NEAR_DUPLICATES}

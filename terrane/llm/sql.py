@@ -108,3 +108,24 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BI
        coalesce(n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN s USING (doc_id)
 """
+
+NEAR_DUPLICATES = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(4, len(ws)) - 1], ' ') AS k
+  FROM w, unnest(range(1, len(ws) - least(4, len(ws)) + 2)) AS t(i) WHERE len(ws) > 0
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y USING (k) WHERE x.doc_id < y.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * i >= 85 * (x.n + y.n - i)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r(v, c) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON r.v = e.a
+)
+SELECT v AS doc_id, coalesce(max(n), 0) AS n_shingles, min(c) AS component_id
+FROM r LEFT JOIN n ON v = n.doc_id GROUP BY v
+"""
