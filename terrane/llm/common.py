@@ -38,8 +38,9 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     out = df.checkpoint(eager=True)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round finalises holds what the second frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

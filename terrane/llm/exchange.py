@@ -37,7 +37,7 @@ def store_chunks(docs: DataFrame, order_by: str = "doc_id", text: str = "text",
         for part in slices(batches, text, limit):
             part = part.take(pa.array(np.argsort(ints(part.column(part.schema.get_field_index(order_by))), kind="stable")))
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
                 out.write_batch(part)
             body = sink.getvalue()
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part.get_total_buffer_size()]), pa.array([part.num_rows]), pa.array([body.to_pybytes()], pa.binary())], names=["chunk", "n_bytes", "n_rows", "payload"])
@@ -56,6 +56,17 @@ def bucket_count(store: DataFrame, keys_per_byte: float) -> int:
     return max(LEAST_BUCKETS, int(total * keys_per_byte / BUCKET_KEYS) + 1)
 
 
+def _short(keys: np.ndarray) -> bytes:
+    """The upper six bytes of each. With the bucket, a pair of keys keeps over 100 bits, and a single one isn't shortened."""
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _long(body: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(body) // 6, 8), np.uint8)
+    out[:, 2:] = body.reshape(-1, 6)
+    return out.view(np.uint64).reshape(-1)
+
+
 def messages(chunk: int, docs: np.ndarray, a: np.ndarray, s: np.ndarray | None, buckets: int) -> Iterator[pa.RecordBatch]:
     """One row for each bucket that gets keys of this chunk. docs must not decrease."""
     if not len(a):
@@ -69,7 +80,7 @@ def messages(chunk: int, docs: np.ndarray, a: np.ndarray, s: np.ndarray | None,
     for lo, hi in zip(edges, [*edges[1:], len(at)], strict=True):
         own = docs[lo:hi]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        rows.append((int(at[lo]), chunk, own[first].tobytes(), np.diff(first, append=hi - lo).astype(np.uint32).tobytes(), a[lo:hi].tobytes(), b"" if s is None else s[lo:hi].tobytes()))
+        rows.append((int(at[lo]), chunk, own[first].tobytes(), np.diff(first, append=hi - lo).astype(np.uint32).tobytes(), a[lo:hi].tobytes() if s is None else _short(a[lo:hi]), b"" if s is None else _short(s[lo:hi])))
     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), MESSAGE.types, strict=True)], schema=MESSAGE)
 
 
@@ -93,11 +104,12 @@ def resolve_in_buckets(sent: DataFrame, resolve: Resolve) -> DataFrame:
     def bucket(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("chunk")
         column = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-        a = column("a", np.uint64)
+        s = column("s", np.uint8)
+        short = any(len(x) for x in s)
+        a = [_long(x) for x in column("a", np.uint8)] if short else column("a", np.uint64)
         size = [len(x) for x in a]
         docs = np.concatenate([np.repeat(d, n) for d, n in zip(column("docs", np.int64), column("counts", np.uint32), strict=True)])
-        s = column("s", np.uint64)
-        s = np.concatenate(s) if any(len(x) for x in s) else np.zeros(sum(size), np.uint64)
+        s = _long(np.concatenate(s)) if short else np.zeros(sum(size), np.uint64)
         codes = resolve(np.concatenate(a), s, docs, np.repeat(np.arange(len(size)), size))
         ends = np.cumsum(size)
         return pa.table([table.column("bucket"), table.column("chunk"), pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())], schema=REPLY)
