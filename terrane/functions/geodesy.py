@@ -19,6 +19,11 @@ def point(lat, lon) -> Column:
     return F.struct(_c(lat).alias("lat"), _c(lon).alias("lon"))
 
 
+def bind(value: Column, use) -> Column:
+    """use(v) where v is value worked out once: an expression that stands in many places makes plans explode."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def equal(p: Column, q: Column) -> Column:
     """Both coordinates within EPSILON."""
     return (F.abs(p["lat"] - q["lat"]) <= EPSILON) & (F.abs(p["lon"] - q["lon"]) <= EPSILON)
@@ -62,8 +67,8 @@ def course(p: Column, q: Column) -> Column:
     """Bearing from p to q in [0, 360): 180 from the north pole, 0 from the south pole and between equal points."""
     a, b, d = F.radians(p["lat"]), F.radians(q["lat"]), F.radians(q["lon"] - p["lon"])
     turn = F.degrees(F.atan2(F.sin(d) * F.cos(b), F.cos(a) * F.sin(b) - F.sin(a) * F.cos(b) * F.cos(d)))
-    turn = F.pmod(turn, F.lit(360.0))
-    return F.when(equal(p, q), 0.0).when(F.abs(p["lat"] - 90) <= EPSILON, 180.0).when(F.abs(p["lat"] + 90) <= EPSILON, 0.0).when(turn >= 360, 0.0).otherwise(turn)
+    turn = F.pmod(F.round(F.pmod(turn, F.lit(360.0)), 12), F.lit(360.0))  # just under 0 must not become 360
+    return F.when(equal(p, q), 0.0).when(F.abs(p["lat"] - 90) <= EPSILON, 180.0).when(F.abs(p["lat"] + 90) <= EPSILON, 0.0).otherwise(turn)
 
 
 def angle(p: Column, at: Column, q: Column) -> Column:
@@ -79,24 +84,33 @@ def destination(p: Column, metres, bearing) -> Column:
     a, b = F.radians(p["lat"]), F.radians(turn)
     east = (F.abs(turn - 90) <= EPSILON) | (F.abs(turn - 270) <= EPSILON)
     to = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(a) * F.cos(s) + F.cos(a) * F.sin(s) * F.cos(b))))
-    to = F.when(east, a).otherwise(to)
     pole = F.abs(F.abs(p["lat"]) - 90) <= EPSILON
-    lon = p["lon"] + F.degrees(F.atan2(F.sin(b) * F.sin(s) * F.cos(a), F.cos(s) - F.sin(a) * F.sin(to)))
-    lat = norm_latitude(F.degrees(to))
-    at_pole = F.abs(F.abs(lat) - 90) <= 1e-9
-    return F.struct(lat.alias("lat"), F.when(at_pole, 0.0).otherwise(norm_longitude(F.when(pole, turn).otherwise(lon))).alias("lon"))
+
+    def end(t: Column) -> Column:
+        lon = p["lon"] + F.degrees(F.atan2(F.sin(b) * F.sin(s) * F.cos(a), F.cos(s) - F.sin(a) * F.sin(t)))
+        return F.struct(F.degrees(t).alias("lat"), F.when(pole, turn).otherwise(lon).alias("lon"))
+
+    def tidy(e: Column) -> Column:
+        return F.struct(norm_latitude(e["lat"]).alias("lat"), F.when(F.abs(F.abs(e["lat"]) - 90) <= 1e-9, 0.0).otherwise(norm_longitude(e["lon"])).alias("lon"))
+
+    return bind(bind(F.when(east, a).otherwise(to), end), tidy)
 
 
 def cross_track(a: Column, b: Column, p: Column) -> Column:
     """struct<distance, point>: from p to the segment a b."""
-    turn = F.abs(course(a, p) - course(a, b))
-    turn = F.when(turn > 180, 360 - turn).otherwise(turn)
-    ap, ab = haversine(a, p), haversine(a, b)
-    off = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(ap / RADIUS) * F.sin(F.radians(turn)))))
-    along = RADIUS * F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(ap / RADIUS) / F.cos(off))))
-    foot = destination(a, along, course(a, b))
-    to = F.when((turn > 90) | equal(a, b) | equal(a, p), a).when(along >= ab, b).otherwise(foot)
-    return F.struct(haversine(p, to).alias("distance"), to.alias("point"))
+    limit = lambda x: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), x))
+    fold = lambda d: F.when(d > 180, 360 - d).otherwise(d)
+    first = F.struct(bind(F.abs(course(a, p) - course(a, b)), fold).alias("turn"), haversine(a, p).alias("ap"), haversine(a, b).alias("ab"))
+
+    def second(x: Column) -> Column:
+        off = F.asin(limit(F.sin(x["ap"] / RADIUS) * F.sin(F.radians(x["turn"]))))
+        along = RADIUS * F.acos(limit(F.cos(x["ap"] / RADIUS) / F.cos(off)))
+        return F.struct(x["turn"].alias("turn"), x["ab"].alias("ab"), along.alias("along"))
+
+    def foot(x: Column) -> Column:
+        return F.when((x["turn"] > 90) | equal(a, b) | equal(a, p), a).when(x["along"] >= x["ab"], b).otherwise(destination(a, x["along"], course(a, b)))
+
+    return bind(bind(bind(first, second), foot), lambda to: F.struct(haversine(p, to).alias("distance"), to.alias("point")))
 
 
 def planar_closest(a: Column, b: Column, p: Column) -> Column:

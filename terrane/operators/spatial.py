@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from terrane.functions import shapes
 from terrane.functions.cells import id_range, make_cell
-from terrane.functions.geodesy import haversine, point
+from terrane.functions.geodesy import bind, haversine, point
 from terrane.operators.cover import cover_box, cover_circle, merge_ranges
 
 #: What a cell is to a shape: touched, partly covered, covered.
@@ -22,10 +22,15 @@ PREFIX_BYTES, SHAPE_CELLS = 2, 60
 
 
 def in_ranges(cell: Column, ranges: list[tuple[int, int]]) -> Column:
-    """The cell is in one of the ranges: few comparisons that a scan can prune by."""
+    """A stored cell column is in one of the ranges: few comparisons that a scan can prune by."""
     return reduce(lambda a, b: a | b, [cell.between(lo, hi) for lo, hi in ranges], F.lit(False))
 
 
+def _near(lat: Column, lon: Column, cell: str | None, ranges: list[tuple[int, int]]) -> Column:
+    """As in_ranges, of a stored cell or of one worked out once a row."""
+    return in_ranges(F.col(cell), ranges) if cell else bind(make_cell(lat, lon), lambda c: in_ranges(c, ranges))
+
+
 def index_points(df: DataFrame, key: str, lat: Column, lon: Column) -> DataFrame:
     """cell_id, depth, pk0 and cell_attr of a table of points, in order of cell within each partition."""
     return df.select(make_cell(lat, lon).alias("cell_id"), F.lit(4).cast("byte").alias("depth"), F.col(key).alias("pk0"), F.lit(PART).cast("byte").alias("cell_attr")).sortWithinPartitions("cell_id")
@@ -47,7 +52,7 @@ def index_shapes(df: DataFrame, key: str, geography: str) -> DataFrame:
 
 
 def for_cell(index: DataFrame, cell: int, depth: int) -> DataFrame:
-    """Index rows of points whose cell is below the given one."""
+    """Index rows of points whose cell is below the given one. An index is best stored: its cells are then plain columns."""
     lo, hi = id_range(cell, depth)
     return index.where(F.col("cell_id").between(lo, hi))
 
@@ -87,16 +92,14 @@ def within_distance(df: DataFrame, lat_column: Column, lon_column: Column, lat:
     """Points within so many metres: the cover of the circle first (on a stored cell column, if named), then the exact distance."""
     here = F.struct(lat_column.alias("lat"), lon_column.alias("lon"))
     exact = haversine(here, point(lat, lon)) <= metres
-    stored = F.col(cell) if cell else make_cell(lat_column, lon_column)
-    return df.where(in_ranges(stored, cover_circle(lat, lon, metres)) & exact) if use_index else df.where(exact)
+    return df.where(_near(lat_column, lon_column, cell, cover_circle(lat, lon, metres)) & exact) if use_index else df.where(exact)
 
 
 def within_box(df: DataFrame, lat_column: Column, lon_column: Column, box: tuple[float, float, float, float], cell: str | None = None, use_index: bool = True) -> DataFrame:
     exact = lat_column.between(box[0], box[2]) & lon_column.between(box[1], box[3])
     if shapes.box_is_null(*box):
         return df.where(F.lit(False))
-    stored = F.col(cell) if cell else make_cell(lat_column, lon_column)
-    return df.where(in_ranges(stored, cover_box(*box)) & exact) if use_index else df.where(exact)
+    return df.where(_near(lat_column, lon_column, cell, cover_box(*box)) & exact) if use_index else df.where(exact)
 
 
 def nearest(df: DataFrame, lat_column: Column, lon_column: Column, lat: float, lon: float, k: int, tie: str) -> DataFrame:

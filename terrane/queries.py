@@ -13,6 +13,7 @@ from terrane.operators import keys, sets, spatial
 from terrane.operators.components import connected_components
 from terrane.plans.predicates import All, Between, Greater, GreaterEq, If, In, IsNull, Less, LessEq, Not, NotNull, STContains, STDistance, STIntersects, STLength, Where
 from terrane.plans.query import Select
+from terrane.runtime import cut
 from terrane.schema import ColumnDef, KeyPart, TableDef
 from terrane.sources.catalog import Catalog, null_counts
 from terrane.sources.dump import dump
@@ -346,7 +347,7 @@ def poi_join(c: Catalog):
 @query(f"SELECT event_id FROM ({_E}) WHERE {_D0} <= 500000")
 def index_lookup(c: Catalog):
     rows = _located(c)
-    index = spatial.index_points(rows, "event_id", F.col("lat"), F.col("lon"))
+    index = cut(spatial.index_points(rows, "event_id", F.col("lat"), F.col("lon")))
     near = spatial.lookup(spatial.for_range(index, _LAT0, _LON0, 500_000.0), rows, "event_id")
     return near.where(geodesy.haversine(_here(), geodesy.point(_LAT0, _LON0)) <= 500_000).select("event_id")
 
