@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +31,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def release(spark: SparkSession) -> None:
+    for _ in range(2):  # what the first round finalises holds what the second frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder, so that a lost executor costs a read and no recomputation.
 
@@ -38,12 +47,42 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(spark)
     out = df.checkpoint(eager=True)
     del df
-    for _ in range(2):  # what the first round finalises holds what the second frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    release(spark)
     return out
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows of Arrow batches in its session: texts are long, and a batch is held on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder and deletes as soon as it needs them no more.
+
+    Parquet keeps many short rows in far fewer bytes than a checkpoint does.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.at}/{name}")
+        schema = df.schema
+        del df
+        release(self.spark)
+        return self.spark.read.schema(schema).parquet(f"{self.at}/{name}")
+
+    def delete(self, *names: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts have at most `limit` bytes (or one row)."""
     for batch in batches:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import SLICE_BYTES, cut, ints, slices
+from terrane.llm.common import SLICE_BYTES, cut, ints, slices, small_batches
 
 #: What a bucket holds on average at most, and the fewest buckets.
 BUCKET_KEYS, LEAST_BUCKETS = 400_000, 64
@@ -43,7 +43,7 @@ def store_chunks(docs: DataFrame, order_by: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part.get_total_buffer_size()]), pa.array([part.num_rows]), pa.array([body.to_pybytes()], pa.binary())], names=["chunk", "n_bytes", "n_rows", "payload"])
             chunk += 1
 
-    return cut(docs.mapInArrow(packed, STORE))
+    return cut(small_batches(docs).mapInArrow(packed, STORE))
 
 
 def unpack(payload: pa.Scalar) -> pa.RecordBatch:

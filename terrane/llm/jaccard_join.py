@@ -8,10 +8,11 @@ order is right, a good one is fast.
 1. Documents with the same prefix and size are one group, and those with the same set one class. Chunks send each
    prefix n-gram once a group to hash buckets, which answer whether several groups have it, and whether a group holds
    several classes (exchange.py). Texts don't move and unique n-grams, nearly all, end there.
-2. Groups are expanded to class representatives. Representatives of like size that share an n-gram meet at a key. Each
+2. Groups are expanded to class representatives. Representatives that share an n-gram meet at a key. Each of like size
    is verified with the key's smallest one only, and components are formed: near copies of one text end in one
    component without any pair between them.
-3. Pairs that share a key but not a component are then verified, all of them. Exact sets are compared throughout.
+3. Pairs that share a key but not a component are then verified, all that share enough of their prefixes: one of the two
+   prefixes ends first, and what the other set lacks of it is missing from the intersection. Sets are compared exactly.
 
 Defined results: null and empty texts have no n-grams and are linked with nothing; a text of fewer words than n has its
 whole sequence as one n-gram; a null doc_id is linked with nothing and has no component; rows that share a doc_id are one
@@ -24,16 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import LOWERED, Rolling, Words, cut, ints, mix
+from terrane.llm.common import LOWERED, Rolling, Scratch, Words, cut, ints, mix
 from terrane.llm.components import connected_components
 from terrane.llm.exchange import MESSAGE_DDL, answered, bucket_count, first_of, messages, resolve_in_buckets, store_chunks, unpack, with_replies
 
-#: Counters of the sketch; an n-gram is common from so many times the mean counter on.
-SKETCH, COMMON = 1 << 16, 4.0
-_BLOCK = 1 << 10
+#: Counters of the sketch (a power of two) and those of a block. A task reports counters from LEAST rows and COMMON times
+#: its mean counter on (a task has TASK_ROWS documents or so): n-grams that a fixed share of the documents hold, whatever the size of the corpus.
+SKETCH, BLOCK, LEAST, COMMON, TASK_ROWS = 1 << 23, 1 << 16, 2, 4.0, 8_000
+#: Bytes of a chunk.
+CHUNK_BYTES = 2 << 20
 _NULL = np.iinfo(np.int64).min
 REPEATED, SEVERAL = 1, 2
 _NODE = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.list_(pa.int64()))])
@@ -94,32 +97,38 @@ class Prefixes(Sets):
         assert rows == len(self.ids)
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    mean = max(1.0, counts.mean())
-    return np.where(counts > COMMON * mean, np.log2(np.maximum(counts, 1) / mean), 0).astype(np.int64)
-
-
 def count_levels(store: DataFrame, words: int) -> np.ndarray:
-    """The level of each counter of a sketch of how many documents have an n-gram, over all documents."""
+    """The level of each counter (one byte): 0, or for common n-grams the logarithm of how many documents have them.
+
+    All documents are counted; each task keeps its counters to itself but for the large ones, whose sums are few.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.int64)
+        total = np.zeros(SKETCH, np.uint32)
         for batch in batches:
             for payload in batch.column(0):
-                total += np.bincount((Sets(unpack(payload), words).hash & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
-        if total.any():
-            parts = total.reshape(-1, _BLOCK)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts))), pa.array([p.tobytes() for p in parts], pa.binary())], names=["block", "counts"])
+                at, n = np.unique(Sets(unpack(payload), words).hash & np.uint64(SKETCH - 1), return_counts=True)
+                total[at.astype(np.int64)] += n.astype(np.uint32)
+        large = np.flatnonzero(total >= max(LEAST, COMMON * total.mean()))
+        edges = np.searchsorted(large, np.arange(0, SKETCH + 1, BLOCK))
+        blocks = np.flatnonzero(np.diff(edges))
+        slots = [(large[edges[b] : edges[b + 1]] % BLOCK).astype(np.uint16).tobytes() for b in blocks]
+        sums = [np.minimum(total[large[edges[b] : edges[b + 1]]], 65_535).astype(np.uint16).tobytes() for b in blocks]
+        yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(slots, pa.binary()), pa.array(sums, pa.binary())], names=["block", "slots", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for x in table.column("counts"))
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+        total = np.zeros(BLOCK)
+        for slots, sums in zip(table.column("slots"), table.column("sums"), strict=True):
+            total[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(sums.as_buffer(), np.uint16)
+        level = np.where(total > 0, np.floor(np.log2(np.maximum(1, total))) + 1, 0).astype(np.int8)
+        return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
 
-    got = store.select("payload").mapInArrow(count, "block long, counts binary").groupBy("block").applyInArrow(add, "block long, counts binary").toArrow()
-    total = np.zeros((SKETCH // _BLOCK, _BLOCK), np.int64)
-    for block, counts in zip(got.column("block").to_pylist(), got.column("counts"), strict=True):
-        total[block] = np.frombuffer(counts.as_buffer(), np.int64)
-    return _levels(total.reshape(-1))
+    rows = store.agg(F.sum("n_rows")).first()[0] or 0  # what a task counts must not depend on how the input was dealt out
+    got = store.select("payload").coalesce(max(1, rows // TASK_ROWS)).mapInArrow(count, "block long, slots binary, sums binary").groupBy("block").applyInArrow(add, "block long, levels binary").toArrow()
+    levels = np.zeros((SKETCH // BLOCK, BLOCK), np.int8)
+    for block, level in zip(got.column("block").to_pylist(), got.column("levels"), strict=True):  # SKETCH bytes at most
+        levels[block] = np.frombuffer(level.as_buffer(), np.int8)
+    return levels.reshape(-1)
 
 
 def _resolve(a: np.ndarray, s: np.ndarray, doc: np.ndarray, sender: np.ndarray) -> np.ndarray:
@@ -161,10 +170,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     smallest doc_id reachable by links, the document's own included.
     """
     sc = docs.sparkSession.sparkContext
-    store = store_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    store = store_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), limit=CHUNK_BYTES)
     levels = sc.broadcast(count_levels(store, words))
     buckets = bucket_count(store, (1 - percent / 100) / 6.0)
-    log_step = -np.log((percent - 0.1) / 100)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,9 +189,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
         lead = np.zeros(len(x.n), bool)
         lead[x.key_row[x.is_group & (code & REPEATED == 0)]] = True
         own = np.flatnonzero((code & SEVERAL > 0) & lead[x.key_row])
-        place = np.floor(np.log(x.n[x.key_row[own]]) / log_step).astype(np.uint64)
-        keys = np.concatenate([mix(x.a[own] ^ mix(place + np.uint64(d))) for d in (0, 1)])
-        row = np.concatenate([x.key_row[own]] * 2)
+        keys = (x.a[own] & ~np.uint64(1)) | x.is_group[own].astype(np.uint64)  # odd: a whole prefix
+        row = x.key_row[own]
         order = np.argsort(row, kind="stable")
         edges = np.searchsorted(row[order], np.arange(len(x.n) + 1))
         lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[order].view(np.int64)))
@@ -193,11 +200,24 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     nodes = cut(with_replies(store, [replies], nodes_of, _NODE, _NODE_DDL))
 
     # keys at which representatives meet
-    met = nodes.where(F.size("keys") > 0).select("chunk", "doc_id", "n", F.explode("keys").alias("key"))
-    shared = met.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "first")
-    members = cut(met.join(shared, "key").select("key", "chunk", "doc_id", "n", F.col("first.doc_id").alias("a"), F.col("first.n").alias("a_n")))
+    scratch = Scratch(docs.sparkSession)
+    met = nodes.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n"))
+    shared = met.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "a")
+    members = scratch.write(met.join(shared, "key"), "members")
     alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = cut(members.where((F.col("a") != F.col("doc_id")) & alike(F.col("n"), F.col("a_n"))).select("a", F.col("doc_id").alias("b")).distinct())
+    odd = F.max(F.col("key").bitwiseAND(F.lit(1)) == 1)
+
+    def enough(x: Column, y: Column, keys: Column, whole: Column, share: float) -> Column:
+        """Whether sets of x and y n-grams can be similar if their prefixes share so many keys."""
+        least = -F.floor(-percent * (x + y) / (100 + percent))
+        prefix = lambda n: n + F.floor(-percent * n / 100) + 1
+        return whole | (keys + 1e-6 >= share * F.least(prefix(x) - (x - least), prefix(y) - (y - least)))
+
+    sizes = members.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).distinct()
+    star = members.where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), "n").agg(F.count(F.lit(1)).alias("keys"), odd.alias("whole")).join(sizes, "a")
+    # not all keys of a pair have the same first, so half of what is needed is asked for; step 3 leaves nothing out
+    star = star.where(alike(F.col("n"), F.col("a_n")) & enough(F.col("n"), F.col("a_n"), F.col("keys"), F.col("whole"), 0.5))
+    star = scratch.write(star.select("a", "b").distinct(), "star")
 
     def sets_of(chunk: int, rows: pa.RecordBatch, codes: list[dict[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         if codes[0]:
@@ -206,23 +226,29 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(x.ids[asked]), pa.array([x.hash[x.edge[i] : x.edge[i + 1]].tobytes() for i in asked], pa.binary())], schema=set_schema)
 
     set_schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
-    needed = members.select("chunk", "doc_id").distinct().groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"))
-    asked = needed.mapInArrow(_packed_ids, "bucket int, chunk long, codes binary")
-    sets = cut(with_replies(store, [asked], sets_of, set_schema, "doc_id long, grams binary"))
+    needed = nodes.where("lead").select("chunk", "doc_id").join(members.select("doc_id").distinct(), "doc_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"))
+    asked = needed.select("chunk", "ids").mapInArrow(_packed_ids, "bucket int, chunk long, codes binary")
+    sets = scratch.write(with_replies(store, [asked], sets_of, set_schema, "doc_id long, grams binary"), "sets")
+    del store
 
     first = cut(_verified(star, sets, percent))
     part = connected_components(first)
     # pairs at a key that are in two components
     placed = members.join(part.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    placed = cut(placed)
-    apart = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-    kinds = placed.join(apart, "key").select("key", "c").distinct()
-    met_kinds = kinds.join(kinds.withColumnRenamed("c", "d"), "key").where("c < d")
+    apart = members.join(part.withColumnRenamed("v", "doc_id"), "doc_id", "left").groupBy("key").agg(F.min(F.coalesce("component", "doc_id")).alias("lo"), F.max(F.coalesce("component", "doc_id")).alias("hi")).where("lo <> hi").select("key")
+    placed = scratch.write(placed.join(apart, "key"), "placed")
+    scratch.delete("members")
+    kinds = placed.groupBy("key", "c").agg(F.min("n").alias("c_lo"), F.max("n").alias("c_hi"))
+    others = kinds.withColumnsRenamed({"c": "d", "c_lo": "d_lo", "c_hi": "d_hi"})
+    met_kinds = kinds.join(others, "key").where(f"c < d AND 100 * c_hi >= {percent} * d_lo AND 100 * d_hi >= {percent} * c_lo").select("key", "c", "d")
     one = placed.select("key", "c", F.col("doc_id").alias("x"), F.col("n").alias("x_n"))
     two = placed.select("key", F.col("c").alias("d"), F.col("doc_id").alias("y"), F.col("n").alias("y_n"))
     rest = met_kinds.join(one, ["key", "c"]).join(two, ["key", "d"]).where(alike(F.col("x_n"), F.col("y_n")))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.withColumnsRenamed({"a": "a", "b": "b"}), ["a", "b"], "left_anti")
-    links = cut(first.unionByName(_verified(cut(rest), sets, percent)))
+    rest = rest.groupBy("x", "y", "x_n", "y_n").agg(F.count(F.lit(1)).alias("keys"), odd.alias("whole"))
+    rest = rest.where(enough(F.col("x_n"), F.col("y_n"), F.col("keys"), F.col("whole"), 1.0))
+    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    links = cut(first.unionByName(_verified(scratch.write(rest, "rest"), sets, percent)))
+    scratch.delete("placed", "rest", "sets", "star")
     found = connected_components(links).withColumnRenamed("v", "rep")
 
     # every document has its class's representative, and that one's component
