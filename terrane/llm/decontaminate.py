@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import FOLDED, Rolling, Words, cut, slices
+from terrane.llm.common import FOLDED, Rolling, Words, cut, slices, small_batches
 
 WIDTH, MIN_ITEMS = 8, 2
 #: Words of the items of one block, and pairs of place and window that are verified at once.
@@ -147,7 +147,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (),
 
     docs: doc_id, text; items: item_id, text. A document word inside any occurrence of a window is hit.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     docs = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))
     # hits: one bit a word, packed; found: the items so far
     state = docs.withColumns({"hits": F.lit(None).cast("binary"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
@@ -186,14 +186,15 @@ def _pass(sent, schema: pa.Schema):
             before, earlier = part.column(at["items"]).to_pylist(), part.column(at["hits"]).to_pylist()
             some = np.flatnonzero((np.diff(edges) > 0) | np.array([bool(x) for x in before], bool))
             hits, found = [None] * part.num_rows, [[]] * part.num_rows
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
             for i in some:
-                own = hit[words.first[i] : words.first[i + 1]]
+                own = hit[words.first[i] : words.first[i + 1]].copy()
                 if earlier[i]:
                     own |= np.unpackbits(np.frombuffer(earlier[i], np.uint8), count=len(own)).astype(bool)
-                hits[i] = np.packbits(own).tobytes()
+                hits[i], n_hit[i] = np.packbits(own).tobytes(), own.sum()
                 found[i] = sorted({*before[i], *names[item[edges[i] : edges[i + 1]]]})
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            new = {"hits": pa.array(hits, pa.binary()), "n_words": pa.array(words.count), "n_hit": pa.array(sums[words.first[1:]] - sums[words.first[:-1]]), "items": pa.array(found, pa.list_(pa.string()))}
+            new = {"hits": pa.array(hits, pa.binary()), "n_words": pa.array(words.count), "n_hit": pa.array(n_hit), "items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new[n].cast(f.type) if n in new else part.column(at[n]).cast(f.type) for n, f in zip(schema.names, schema, strict=True)], schema=schema)
 
     return task

@@ -129,3 +129,17 @@ WITH RECURSIVE w AS (
 SELECT v AS doc_id, coalesce(max(n), 0) AS n_shingles, min(c) AS component_id
 FROM r LEFT JOIN n ON v = n.doc_id GROUP BY v
 """
+
+ARCHIVES = """
+WITH h AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM h
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN last IS NULL OR page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM m
+"""
