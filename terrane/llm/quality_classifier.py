@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import PLAIN, Rolling, Words, mix, slices
+from terrane.llm.common import PLAIN, Rolling, Words, mix, slices, small_batches
 
 #: Labelled rows to fit on at most; slots of hashed words and shapes; rounds of fitting; tail probability to keep a text.
 FIT_ROWS, WORD_SLOTS, SHAPE_SLOTS, ROUNDS, KEEP = 6_000, 1 << 12, 1 << 8, 300, 0.5
@@ -152,7 +152,7 @@ def fit_quality(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Or
 
 def grade_documents(docs: DataFrame, ratings: DataFrame, keep: tuple[str, ...] = (), rows: int = FIT_ROWS, threshold: float = KEEP) -> DataFrame:
     """doc_id, the columns in keep, expected_grade, tail_probability (of grade 1 or more) and selected."""
-    model = fit_quality(docs, ratings, rows)
+    model = fit_quality(small_batches(docs), ratings, rows)
     docs = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))
     out = ["doc_id", *keep, "expected_grade", "tail_probability"]
     scored = docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail_probability": F.lit(1.0)}).select(*out)

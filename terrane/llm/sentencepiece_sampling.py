@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Rolling, byte_symbols, ints, mix, slices, text_bytes
+from terrane.llm.common import Rolling, byte_symbols, ints, mix, slices, small_batches, text_bytes
 
 SPACE = "▁"
 #: Exponent of a point of score; seed of the draws; what a character's bytes cost beside the least score.
 SCALE, SEED, BYTES_COST = 5e-4, 17, 10.0
-_SLICE = 3 << 20
+_SLICE = 1 << 20
 _CHAR_BYTES = np.ones(256, np.int64)
 _CHAR_BYTES[0xC0:0xE0], _CHAR_BYTES[0xE0:0xF0], _CHAR_BYTES[0xF0:] = 2, 3, 4
 _TOP = 1 - 1e-7
@@ -244,7 +244,7 @@ def encode_sampled(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...
             own = {n: part.column(i) for i, n in enumerate(part.schema.names)}
             yield pa.RecordBatch.from_arrays([*(own[c] for c in keep), sent.value.encode(own["text"], ints(own["doc_id"]))], names=[*keep, "ids"])
 
-    return docs.mapInArrow(work, _columns(keep, docs) + "ids array<int>")
+    return small_batches(docs).mapInArrow(work, _columns(keep, docs) + "ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ()) -> DataFrame:

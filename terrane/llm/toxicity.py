@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import FOLDED, Rolling, Words, byte_symbols, cut, slices
+from terrane.llm.common import FOLDED, Rolling, Words, byte_symbols, cut, slices, small_batches
 from terrane.llm.quality_classifier import labelled_sample
 
 FIT_ROWS, PREDICT = 10_000, 0.7
@@ -328,5 +328,5 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, predict: float = PREDICT) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; labels of held-out rows are never looked at."""
-    model = fit_toxicity(docs, labels.where(~held_out(F.col("doc_id"))), rows)
+    model = fit_toxicity(small_batches(docs), labels.where(~held_out(F.col("doc_id"))), rows)
     return score_toxicity(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= predict).cast("int").alias("predicted"))
