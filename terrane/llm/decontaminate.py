@@ -11,6 +11,9 @@ block is one pass over the documents. Documents are not shuffled, whatever a win
 
 Defined results: null and empty texts have no words and are never hit; items that are null, empty or without an id take
 no part; rows with the same item_id are one item; repeated document rows are judged each. An empty benchmark hits nothing.
+
+The column contaminated counts items only. The pipeline's stage also drops a document with one item: if the windows that
+occur cover over half of the words of an item's text of WIDTH words or more, in whatever order the document has them.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ class Windows:
         self.width, self.ids = width, sorted(set(ids))
         place = {x: i for i, x in enumerate(self.ids)}
         words = Words(pa.array(texts, pa.string()), FOLDED)
-        starts, sizes, items = [], [], []
+        starts, sizes, items, texts_of = [], [], [], []
         for i, name in enumerate(ids):
             n, at = int(words.count[i]), int(words.first[i])
             size = min(width, n)
@@ -45,11 +48,13 @@ class Windows:
                 starts.append(np.arange(at, at + n - size + 1))
                 sizes.append(np.full(n - size + 1, size))
                 items.append(np.full(n - size + 1, place[name]))
-        start, size, item = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, items))
+                texts_of.append(np.full(n - size + 1, i))
+        start, size, item, text = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (starts, sizes, items, texts_of))
+        self.count = words.count.astype(np.int64)
         self.vocabulary = np.unique(words.hash)
         if not len(start):
             self.hash, self.words, self.size = _EMPTY, np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
-            self.item_edge, self.item = np.zeros(1, np.int64), item
+            self.item_edge, self.item, self.text, self.place = np.zeros(1, np.int64), item, text, start
             return
         h = Rolling(words.hash).runs(start, start + size)
         order = np.lexsort((item, h))
@@ -60,6 +65,7 @@ class Windows:
         inside = np.arange(width)[None, :] < self.size[:, None]
         self.words = np.where(inside, words.hash[np.minimum(column, len(words.hash) - 1)], np.uint64(0))
         self.item, self.item_edge = item[order], np.append(np.flatnonzero(new), len(order))
+        self.text, self.place = text[order], start[order]
 
     def order_by(self, counts: np.ndarray) -> Windows:
         """Choose each window's rarest word by the counts of the vocabulary; equal counts go by hash."""
@@ -104,6 +110,34 @@ class Windows:
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+    def mostly_in(self, row: np.ndarray, window: np.ndarray, rows: int) -> np.ndarray:
+        """For each of the rows, whether its windows cover over half of the words of one text of `width` words or more."""
+        most = np.zeros(rows, bool)
+        n_windows = max(1, len(self.hash))
+        pairs = np.unique(row * n_windows + window)
+        n = self.item_edge[pairs % n_windows + 1] - self.item_edge[pairs % n_windows] if len(pairs) else pairs
+        ends, lo = np.cumsum(n), 0
+        while lo < len(pairs):  # whole rows, about PAIRS places at once
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, side="right")))
+            hi = int(np.searchsorted(pairs, (pairs[hi - 1] // n_windows + 1) * n_windows))
+            m = n[lo:hi]
+            at = np.repeat(self.item_edge[pairs[lo:hi] % n_windows], m) + np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+            own, text, place = np.repeat(pairs[lo:hi] // n_windows, m), self.text[at], self.place[at]
+            order = np.lexsort((place, own))  # texts follow one another, so places are in order of texts too
+            own, text, place = own[order], text[order], place[order]
+            long = self.count[text] >= self.width
+            own, text, place = own[long], text[long], place[long]
+            if len(own):
+                new = np.ones(len(own), bool)
+                new[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
+                gain = np.full(len(own), self.width)
+                gain[1:] = np.where(new[1:], self.width, np.minimum(self.width, place[1:] - place[:-1]))
+                first = np.flatnonzero(new)
+                most[own[first[2 * np.add.reduceat(gain, first) > self.count[text[first]]]]] = True
+            lo = hi
+        return most
+
+
 def _blocks(items: DataFrame, width: int, limit: int) -> Iterator[Windows]:
     ids, texts, n = [], [], 0
     for r in items.select(F.col("item_id").cast("string"), "text").where("item_id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
@@ -143,14 +177,15 @@ def word_counts(docs: DataFrame, vocabulary) -> np.ndarray:
 
 
 def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (), width: int = WIDTH, min_items: int = MIN_ITEMS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, the columns in keep, n_words, n_hit, items (sorted ids of items with occurring windows) and contaminated.
+    """doc_id, the columns in keep, n_words, n_hit, items (sorted ids of items with occurring windows), contaminated and
+    most (whether the document holds over half of one text of width words or more).
 
     docs: doc_id, text; items: item_id, text. A document word inside any occurrence of a window is hit.
     """
     spark = small_batches(docs).sparkSession
     docs = docs.select("doc_id", "text", *(c for c in keep if c not in ("doc_id", "text")))
     # hits: one bit a word, packed; found: the items so far
-    state = docs.withColumns({"hits": F.lit(None).cast("binary"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>")})
+    state = docs.withColumns({"hits": F.lit(None).cast("binary"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long"), "items": F.array().cast("array<string>"), "most": F.lit(False)})
     arrow, ddl = state.limit(0).toArrow().schema, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields)
     done = 0
     for block in _blocks(items, width, block_words):
@@ -162,7 +197,7 @@ def contamination(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (),
     if not done:
         empty = Windows([], [], width).order_by(np.zeros(0, np.int64))
         state = state.mapInArrow(_pass(spark.sparkContext.broadcast(empty), arrow), ddl)
-    return state.select("doc_id", *keep, "n_words", "n_hit", "items", (F.size("items") >= min_items).alias("contaminated"))
+    return state.select("doc_id", *keep, "n_words", "n_hit", "items", (F.size("items") >= min_items).alias("contaminated"), "most")
 
 
 def _pass(sent, schema: pa.Schema):
@@ -188,19 +223,20 @@ def _pass(sent, schema: pa.Schema):
             hits, found = [None] * part.num_rows, [[]] * part.num_rows
             sums = np.concatenate([[0], np.cumsum(hit)])
             n_hit = sums[words.first[1:]] - sums[words.first[:-1]]
+            most = block.mostly_in(words.row[start], window, part.num_rows) | np.array(part.column(at["most"]).to_pylist(), bool)
             for i in some:
                 own = hit[words.first[i] : words.first[i + 1]].copy()
                 if earlier[i]:
                     own |= np.unpackbits(np.frombuffer(earlier[i], np.uint8), count=len(own)).astype(bool)
                 hits[i], n_hit[i] = np.packbits(own).tobytes(), own.sum()
                 found[i] = sorted({*before[i], *names[item[edges[i] : edges[i + 1]]]})
-            new = {"hits": pa.array(hits, pa.binary()), "n_words": pa.array(words.count), "n_hit": pa.array(n_hit), "items": pa.array(found, pa.list_(pa.string()))}
+            new = {"hits": pa.array(hits, pa.binary()), "n_words": pa.array(words.count), "n_hit": pa.array(n_hit), "items": pa.array(found, pa.list_(pa.string())), "most": pa.array(most)}
             yield pa.RecordBatch.from_arrays([new[n].cast(f.type) if n in new else part.column(at[n]).cast(f.type) for n, f in zip(schema.names, schema, strict=True)], schema=schema)
 
     return task
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs (doc_id, text, lang, source, n_chars) without those that hold windows of MIN_ITEMS items or more."""
+    """docs (doc_id, text, lang, source, n_chars) without those that hold windows of MIN_ITEMS items or more, or most of one."""
     columns = ("doc_id", "text", "lang", "source", "n_chars")
-    return contamination(docs, items, columns[1:]).where(~F.col("contaminated")).select(*columns)
+    return contamination(docs, items, columns[1:]).where(~F.col("contaminated") & ~F.col("most")).select(*columns)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terrane.llm import toxicity as tox
 from terrane.llm.common import FOLDED, LOWERED, PLAIN, Words
-from terrane.llm.decontaminate import contamination
+from terrane.llm.decontaminate import contamination, without_contaminated
 from terrane.llm.jaccard_join import near_duplicates
 from terrane.llm.quality_classifier import fit_ordinal, grade_documents
 from terrane.llm.sentencepiece_sampling import Decoder, Encoder, load_vocabulary, round_trip
@@ -157,6 +157,18 @@ def test_contamination(docs, spark):
     assert contamination(docs, bench.limit(0)).where("n_hit > 0 OR contaminated").count() == 0
 
 
+def test_stage_drops_one_whole_item(spark):
+    w = [f"w{i}" for i in range(60)]
+    items = [("b1", " ".join(w[:24])), ("b2", "yes indeed"), ("b3", " ".join(w[30:50]))]
+    texts = {1: f"before {' '.join(w[:24])} after", 2: " ".join(w[:12]), 3: " ".join(w[:13]), 4: " ".join([*w[14:24], "and", *w[0:8]]), 5: "yes indeed", 6: None, 7: f"{' '.join(w[:8])} x {' '.join(w[:8])} y {' '.join(w[1:9])}", 8: " ".join([*w[:8], *w[30:38]])}
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    bench = spark.createDataFrame(items, "item_id string, text string").coalesce(1)
+    assert {r.doc_id for r in without_contaminated(docs, bench).collect()} == {2, 5, 6, 7}
+    for block in (400_000, 1):
+        got = {r.doc_id: (r.most, r.contaminated) for r in contamination(docs, bench, block_words=block).collect()}
+        assert got == {i: (i in (1, 3, 4), i == 8) for i in texts}
+
+
 def test_empty_tables(empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert dedup_substrings(empty).count() == dedup_bytes(empty).count() == near_duplicates(empty).count() == 0
