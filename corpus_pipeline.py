@@ -1,8 +1,8 @@
 """From documents to training tokens in five stages, each on all that the one before kept.
 
-quality: poor documents go. near_duplicates: one document of each group stays. repeated_substrings: words in runs of
-twenty that also start earlier go. decontamination: documents with windows of two or more benchmark items, or with most
-of one, go. pieces: what is left becomes sampled pieces of a public vocabulary.
+quality: poor documents go. near_duplicates: one document of each group of 80 % by sets of five words stays.
+repeated_substrings: words in runs of twenty that also start earlier go. decontamination: documents with windows of two
+or more benchmark items, or with most of one, go. pieces: what is left becomes sampled pieces of a public vocabulary.
 """
 
 from __future__ import annotations

@@ -37,6 +37,8 @@ from terrane.llm.exchange import MESSAGE_DDL, answered, bucket_count, first_of,
 SKETCH, BLOCK, LEAST, COMMON, TASK_ROWS = 1 << 23, 1 << 16, 2, 4.0, 8_000
 #: Bytes of a chunk.
 CHUNK_BYTES = 2 << 20
+#: Words of an n-gram and least similarity in the pipeline's stage.
+STAGE_WORDS, STAGE_PERCENT = 5, 80
 _NULL = np.iinfo(np.int64).min
 REPEATED, SEVERAL = 1, 2
 _NODE = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.list_(pa.int64()))])
@@ -268,7 +270,8 @@ def _packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) with the document of smallest doc_id of each component; others go.
 
+    Documents link if their sets of STAGE_WORDS words are alike to STAGE_PERCENT or more; the defaults are those of op10.
     Documents without words and rows without an id stay.
     """
-    found = near_duplicates(docs).where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id")
+    found = near_duplicates(docs, STAGE_WORDS, STAGE_PERCENT).where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id")
     return docs.select("doc_id", "text", "lang", "source", "n_chars").join(found.distinct(), "doc_id", "left_anti")
