@@ -271,7 +271,17 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source, n_chars) with the document of smallest doc_id of each component; others go.
 
     Documents link if their sets of STAGE_WORDS words are alike to STAGE_PERCENT or more; the defaults are those of op10.
-    Documents without words and rows without an id stay.
+    Documents without words and rows without an id stay. Of repeated rows, with the same doc_id (null too) and text, one
+    stays: the least by lang, source and n_chars. Rows of one doc_id with different texts stay or go together.
     """
-    found = near_duplicates(docs, STAGE_WORDS, STAGE_PERCENT).where("doc_id IS NOT NULL AND component_id <> doc_id").select("doc_id")
-    return docs.select("doc_id", "text", "lang", "source", "n_chars").join(found.distinct(), "doc_id", "left_anti")
+    columns = ("doc_id", "text", "lang", "source", "n_chars")
+    docs = docs.select(*columns)
+    found = near_duplicates(docs, STAGE_WORDS, STAGE_PERCENT).where("doc_id IS NOT NULL").groupBy("doc_id")
+    found = cut(found.agg(F.max(F.col("component_id") != F.col("doc_id")).alias("gone"), (F.count(F.lit(1)) > 1).alias("again")).where("gone OR again"))
+    single = docs.where("doc_id IS NOT NULL").join(found.select("doc_id"), "doc_id", "left_anti")
+    several = docs.where("doc_id IS NULL")
+    again = found.where("again AND NOT gone").select("doc_id")
+    if not again.isEmpty():  # else texts would be dealt out twice for nothing
+        several = several.unionByName(docs.join(again, "doc_id", "left_semi"))
+    least = several.groupBy("doc_id", "text").agg(F.min(F.struct(*columns[2:])).alias("rest"))
+    return single.unionByName(least.select("doc_id", "text", "rest.*"))

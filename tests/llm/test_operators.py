@@ -141,6 +141,15 @@ def test_stage_links_from_80_percent_of_five_words(spark):
     assert {r.component_id for r in near_duplicates(docs).collect()} == {1, 2, 3, 4}
 
 
+def test_stage_keeps_one_of_repeated_rows(spark):
+    t = "one two three four five six seven"
+    rows = [(1, t, "en", "b", 9), (1, t, "en", "a", 9), (2, t, "en", "a", 9), (2, t, "en", "a", 9), (3, None, "en", "a", 0), (3, None, "en", "a", 0), (4, "", "en", "a", 0), (None, t, "en", "a", 9), (None, t, "en", "a", 9), (None, "x y", "en", "a", 9), (5, "p q", "en", "a", 3), (5, "r s", "en", "a", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r.doc_id or 0, r.text or "", r.source) for r in one_of_each(docs).collect())
+    assert got == [(0, t, "a"), (0, "x y", "a"), (1, t, "a"), (3, "", "a"), (4, "", "a"), (5, "p q", "a"), (5, "r s", "a")]
+    assert one_of_each(docs.where("doc_id IN (2, 4)").distinct()).count() == 2
+
+
 def test_contamination(docs, spark):
     passage = re.findall(SPACE, made()[-6][1] or "")
     source = max((t or "" for _, t in made() if t and t.count(" ") < 300), key=len)
