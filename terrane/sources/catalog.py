@@ -88,9 +88,11 @@ class Catalog:
         return self.table(name).where((F.col("_metadata.file_path") == file_path) & (F.col("_metadata.row_index") == row_index))
 
     def checksum(self, name: str) -> DataFrame:
-        """One row: rows and an order-free checksum of all columns."""
+        """One row: rows and an order-free checksum of all columns, arrays too; a null differs from an empty value."""
         df = self.table(name)
-        h = F.crc32(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c, _ in df.dtypes if not _.startswith("array")]).cast("binary"))
+        nested = lambda kind: kind.startswith(("array", "map", "struct"))
+        texts = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) if nested(kind) else F.col(c).cast("string") for c, kind in df.dtypes]
+        h = F.crc32(F.concat_ws("|", *[F.coalesce(x, F.lit("\0")) for x in texts]).cast("binary"))
         return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("long").alias("checksum"))
 
 

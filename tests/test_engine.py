@@ -137,3 +137,15 @@ def test_dump_and_definitions(df, spark):
     assert null_counts(df).first().asDict() == {"Id": 1, "Id2": 0, "Col1": 1, "x": 1}
     with pytest.raises(ValueError):
         TableDef("u", (ColumnDef("a", "varchar"),), (KeyPart("a"),))
+
+
+def test_checksum_of_arrays_and_nulls(spark, tmp_path):
+    def checksum(name, rows, ddl="id long, v array<float>, s string"):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        return Catalog(spark, str(tmp_path), [name]).checksum(name).first()[1]
+
+    base = checksum("a", [(1, [1.0, 2.0], "x"), (2, None, None)])
+    assert base == checksum("b", [(2, None, None), (1, [1.0, 2.0], "x")])
+    others = [[(1, [1.0, 3.0], "x"), (2, None, None)], [(1, [2.0, 1.0], "x"), (2, None, None)], [(1, [1.0, 2.0], "x"), (2, [], None)], [(1, [1.0, 2.0], "x"), (2, None, "")]]
+    assert len({base, *(checksum(f"c{i}", rows) for i, rows in enumerate(others))}) == 5
+    assert checksum("d", [(1, [1.0, None], "x")]) != checksum("e", [(1, [1.0], "x")])
