@@ -127,3 +127,17 @@ def test_covers_hold_their_regions(spark, seed):
         box = df.lat.between(*lat) & df.lon.between(*lon)
         assert not (box & ~inside(cover_box(lat[0], lon[0], lat[1], lon[1]))).any()
     assert cover_box(0, 0, 0, 5) == [] and cover_circle(90, 0, 1000.0)
+
+
+def test_as_text_of_all_events(spark):
+    from terrane.queries import QUERIES
+
+    def printed(hundredths):
+        whole, rest = divmod(abs(hundredths), 100)
+        return ("-" if hundredths < 0 else "") + f"{whole}.{rest:02}".rstrip("0").rstrip(".")
+
+    sf = "/root/testdata/sf0.01"
+    ids = [r[0] for r in spark.read.parquet(f"{sf}/events.parquet").select("event_id").collect()]
+    expected = {k: f"POINT ({printed(k * 104729 % 36000 - 18000)} {printed(k * 7919 % 17001 - 8500)})" for k in ids}
+    got = {r.event_id: r.wkt for r in QUERIES["geo_as_text_all"](spark, sf).collect()}
+    assert got == expected and len(got) == len(ids) > QUERIES["geo_as_text"](spark, sf).count()
