@@ -3,10 +3,11 @@
 Full suffix arrays of all bytes cost more processor time and disk than the deduplication itself needs. Each batch gets
 a sparse one: of every WIDTH bytes at least one suffix is sampled (its first SEED bytes have the least hash, so equal
 strings sample the same one), and the sampled suffixes are sorted by the hash of those bytes and of the span of windows
-around them. Suffixes are dealt to buckets by hash. In a bucket every chunk is a new batch: its sorted array is
-merge-scanned against the levels that exist, and levels of equal size merge geometrically, so that n batches leave
-about log2(n) levels and each entry is merged about log2(n) times. A match names the smallest document that has the
-span. Where spans differ around one sample, the exact WIDTH-byte windows are compared the same way (see repeats.py).
+around them. Suffixes are dealt to buckets by hash. In a bucket the chunks are batches of an index family, whose levels
+merge geometrically, so that n batches leave about log2(n) levels and each entry is merged about log2(n) times. Batches
+are not scanned against the levels that exist: all levels become one after the last batch, and one sort of all keys
+finds the matches. The family ends with the bucket, so later batches can't be held against it. A match names the
+smallest document that has the span. Where spans differ around one sample, the exact WIDTH-byte windows are compared the same way (see repeats.py).
 
 Defined results: a null or empty text has no bytes, no spans and the digest of nothing; a null doc_id sorts before all
 others; rows that share a doc_id do not repeat each other. Empty tables give no rows.
