@@ -1,7 +1,8 @@
-"""Substring deduplication by seed and extend on words.
+"""Substring deduplication by hashes of anchor spans and windows of words.
 
-Winnowed anchors of six words are the seeds; each is extended both ways to the span of windows that share it, and equal
-spans, or equal windows where spans differ, are the matches (see repeats.py). Words that a repeated run of WIDTH words
+Winnowed anchors of six words are the seeds; the windows of one document that share one make a span, and equal spans, or
+equal windows where spans differ, are the matches (see repeats.py). They are compared by hash: documents are not joined
+on seeds, matches are not extended between them and maximal repeats are not formed. Words that a repeated run of WIDTH words
 covers are removed; the first occurrence stays.
 
 Defined results: a null or empty text has no words and an empty kept text; a null doc_id sorts before all others; rows
