@@ -1,9 +1,8 @@
-"""What the training-data operators share: tables, checkpoints, Arrow batches and 64-bit hashes of words."""
+"""What the training-data operators share: tables, the shared folder, Arrow batches, hashes of words and comparison of bytes."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from terrane.runtime import cut, shared_dir
+
+__all__ = ["Scratch", "Words", "cut", "shared_dir", "table"]
+
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
 SLICE_BYTES = 4 << 20
 #: Rows of an Arrow batch at most.
@@ -21,38 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="terrane-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def release(spark: SparkSession) -> None:
-    for _ in range(2):  # what the first round finalises holds what the second frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder, so that a lost executor costs a read and no recomputation.
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after bounding the rows of Arrow batches in its session: texts are long, and a batch is held on both sides.
 
-    What led to it is let go: Spark deletes shuffle files when the driver's garbage is collected, which on a large heap
-    can take until after the job.
+    The setting is read when the plan runs, so it can't be set back before; it only changes how batches are cut.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    out = df.checkpoint(eager=True)
-    del df
-    release(spark)
-    return out
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding the rows of Arrow batches in its session: texts are long, and a batch is held on both sides."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(df.sparkSession.conf.get(name))
     if now <= 0 or now > BATCH_ROWS:
@@ -61,30 +37,33 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 class Scratch:
-    """Tables that an operator writes to the shared folder and deletes as soon as it needs them no more.
+    """Tables and files of one operator below the shared folder; what delete() leaves goes when the application ends.
 
     Parquet keeps many short rows in far fewer bytes than a checkpoint does.
     """
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.at = spark, f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str = "scratch"):
+        self.spark, self.at = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path, files = self._path(self.at)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def _path(self, at: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.at}/{name}")
-        schema = df.schema
-        del df
-        release(self.spark)
-        return self.spark.read.schema(schema).parquet(f"{self.at}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.at}/{name}")
 
     def delete(self, *names: str) -> None:
-        jvm = self.spark.sparkContext._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self._path(f"{self.at}/{name}")
+            files.delete(path, True)
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches whose texts have at most `limit` bytes (or one row)."""
+    """The same rows in batches of at most BATCH_ROWS whose texts have at most `limit` bytes (or one row)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -93,7 +72,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         at = 0
         while at < n:
             to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
-            to = min(n, max(to, at + 1))
+            to = min(n, at + BATCH_ROWS, max(to, at + 1))
             yield batch.slice(at, to - at)
             at = to
 
@@ -174,6 +153,53 @@ FOLDED = (((_CODE >= 0x30) & (_CODE <= 0x39)) | ((_LOWER >= 0x61) & (_LOWER <= 0
 LOWERED = (~_SPACE, _LOWER)
 
 
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Blocks of eight bytes up to which runs are hashed and compared side by side; longer runs go one by one.
+_BLOCKS = 32
+
+
+def _blocks(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end."""
+    held = np.zeros(len(raw) + 8, np.uint8)
+    held[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", held.data, strides=(1,))
+
+
+def run_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: a chain of bijections over blocks of eight, BLAKE2 for very long runs.
+
+    It has no algebra over places, so no family of texts collides by construction as it does under a polynomial modulo
+    2 ** 64; runs of one length up to eight bytes never collide.
+    """
+    view, size = _blocks(raw), stop - start
+    h = mix(size.astype(np.uint64) ^ np.uint64(0x6A09E667F3BCC908))
+    h = mix(h ^ (view[start] & _MASK[np.minimum(size, 8)]))
+    who = np.flatnonzero(size > 8)
+    for k in range(1, _BLOCKS):
+        if not len(who):
+            return h
+        h[who] = mix(h[who] ^ (view[start[who] + 8 * k] & _MASK[np.minimum(size[who] - 8 * k, 8)]))
+        who = who[size[who] > 8 * (k + 1)]
+    for i in who:
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : stop[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_runs(one: np.ndarray, at: np.ndarray, other: np.ndarray, there: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the runs of size bytes at `at` in one and at `there` in other are the same bytes."""
+    a, b = _blocks(one), _blocks(other)
+    same = (a[at] ^ b[there]) & _MASK[np.minimum(size, 8)] == 0
+    who = np.flatnonzero(same & (size > 8))
+    for k in range(1, _BLOCKS):
+        if not len(who):
+            return same
+        same[who] = (a[at[who] + 8 * k] ^ b[there[who] + 8 * k]) & _MASK[np.minimum(size[who] - 8 * k, 8)] == 0
+        who = who[same[who] & (size[who] > 8 * (k + 1))]
+    for i in who:
+        same[i] = np.array_equal(one[at[i] : at[i] + size[i]], other[there[i] : there[i] + size[i]])
+    return same
+
+
 class Words:
     """The words of the texts of one column: hash, byte range and row of each, in order."""
 
@@ -193,17 +219,67 @@ class Words:
         if len(split):
             self.start = np.sort(np.concatenate([self.start, split]))
             self.stop = np.sort(np.concatenate([self.stop, split]))
-        self.hash = Rolling((_BYTES[as_byte])[raw]).runs(self.start, self.stop)
+        #: The bytes as they count in comparisons.
+        self.read = raw if as_byte is PLAIN[1] else as_byte[raw]
+        self.hash = run_hashes(self.read, self.start, self.stop)
         #: Words of row i are first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, self.offsets, side="left")
         self.first[-1] = len(self.start)
         self.count = np.diff(self.first)
         self.row = np.repeat(np.arange(len(self.count)), self.count)
 
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def cut(self, lo: int, hi: int) -> bytes:
+        """The bytes from the first to the last of the words lo to hi (not included)."""
+        return self.raw[self.start[lo] : self.stop[hi - 1]].tobytes() if hi > lo else b""
+
+    def joined(self, keep: np.ndarray, body: np.ndarray) -> pa.Array:
+        """The kept words of each row joined by one space; body: the bytes to take, raw or as they are read."""
+        start, stop, row = self.start[keep], self.stop[keep], self.row[keep]
+        edge = np.zeros(len(body) + 1, np.int8)
+        edge[start] += 1
+        edge[stop] -= 1  # a word may begin where another ends
+        own_bytes = body[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
+        gap = np.ones(len(row), np.int64)  # no space after the last word of a row
+        gap[:-1] = row[1:] == row[:-1]
+        gap[-1:] = 0
+        size = stop - start
+        ends = np.cumsum(size + gap)
+        out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
+        own = np.ones(len(out), bool)
+        own[ends[gap == 1] - 1] = False
+        out[own] = own_bytes
+        offsets = np.zeros(len(self.count) + 1, np.int64)
+        np.add.at(offsets, row + 1, size + gap)
+        return pa.Array.from_buffers(pa.large_binary(), len(self.count), [None, pa.py_buffer(np.cumsum(offsets).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.binary())
+
+    def same(self, at: np.ndarray, other: Words, there: np.ndarray) -> np.ndarray:
+        """Whether the words with the numbers `at` are those of other with the numbers `there`, byte for byte."""
+        size = self.stop[at] - self.start[at]
+        return (size == other.stop[there] - other.start[there]) & same_runs(self.read, self.start[at], other.read, other.start[there], size)
+
 
 def byte_symbols(raw: np.ndarray) -> np.ndarray:
     return _BYTES[raw]
 
 
-def pack(values: np.ndarray) -> bytes:
-    return np.ascontiguousarray(values).tobytes()
+class Bytes:
+    """The bytes of the texts of one column as symbols."""
+
+    def __init__(self, column: pa.Array):
+        self.raw, self.first = text_bytes(column)
+
+    @property
+    def hash(self) -> np.ndarray:
+        return _BYTES[self.raw]
+
+    def __len__(self) -> int:
+        return len(self.raw)
+
+    def same(self, at: np.ndarray, other: Bytes, there: np.ndarray) -> np.ndarray:
+        return self.raw[at] == other.raw[there]
+
+    def cut(self, lo: int, hi: int) -> bytes:
+        return self.raw[lo:hi].tobytes()

@@ -4,7 +4,7 @@ A benchmark item is a set of windows of WIDTH words (one shorter window where th
 window are ordered by how often all documents hold them, rarest first. A document that contains a whole window has its
 rarest word, so one word is the necessary prefix: only places of documents that hold a window's rarest word are joined
 with it. The word's offset gives where the window would begin; places where it would not fit in the document fall away
-(length and position), and the rest are verified word by word.
+(length and position), and the rest are verified word by word on their bytes.
 
 Items go in blocks of a fixed number of words. A block's windows are sent to all tasks (their size is bounded); each
 block is one pass over the documents. Documents are not shuffled, whatever a window's frequency.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import FOLDED, Rolling, Words, cut, slices, small_batches
+from terrane.llm.common import FOLDED, Rolling, Words, cut, mix, slices, small_batches
 
 WIDTH, MIN_ITEMS = 8, 2
 #: Words of the items of one block, and pairs of place and window that are verified at once.
@@ -57,10 +57,12 @@ class Windows:
             self.item_edge, self.item, self.text, self.place = np.zeros(1, np.int64), item, text, start
             return
         h = Rolling(words.hash).runs(start, start + size)
-        order = np.lexsort((item, h))
-        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        other = Rolling(mix(words.hash ^ np.uint64(0x3C6EF372FE94F82B))).runs(start, start + size)
+        order = np.lexsort((item, other, h))
+        new = np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (other[order][1:] != other[order][:-1])])
         one = order[new]
         self.hash, self.size = h[one], size[one]
+        self.source, self.begin = words, start[one]
         column = start[one][:, None] + np.arange(width)[None, :]
         inside = np.arange(width)[None, :] < self.size[:, None]
         self.words = np.where(inside, words.hash[np.minimum(column, len(words.hash) - 1)], np.uint64(0))
@@ -102,8 +104,10 @@ class Windows:
             start, window = start[fits], window[fits]
             same = rolling.runs(start, start + self.size[window]) == self.hash[window]
             start, window = start[same], window[same]
-            for j in range(self.width):
-                same = (j >= self.size[window]) | (words.hash[np.minimum(start + j, len(words.hash) - 1)] == self.words[window, j])
+            for j in range(self.width):  # byte for byte
+                own = np.flatnonzero(j < self.size[window])
+                same = np.ones(len(start), bool)
+                same[own] = words.same(start[own] + j, self.source, self.begin[window[own]] + j)
                 start, window = start[same], window[same]
             found.append((start, window))
             lo = hi

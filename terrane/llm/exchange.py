@@ -1,139 +1,152 @@
-"""Chunks of rows and an exchange of their 64-bit keys through hash buckets.
+"""Chunks of rows in files of the shared folder, and an exchange of their 64-bit keys through hash buckets.
 
-Finding what a corpus repeats needs each key to meet its equals, but not one row for each. Here a chunk (a few MB of
-texts, written once) sends each bucket one row with its distinct keys packed as an array; the bucket sorts what it got
-and answers each chunk with one byte a key. A key goes once from a chunk however often the chunk has it, so a passage
-that a third of all rows hold costs a bucket one entry a chunk. Texts never move to a bucket. The number of buckets
-follows the size of the corpus, so a bucket holds a bounded number of entries.
+Finding what a corpus repeats needs each key to meet its equals, but not one row for each. A chunk (a few MB of texts)
+is written once, into a file that its task's chunks share; later steps read it there by path and place, so that texts
+never go through a shuffle again. A chunk sends each bucket one row with its keys packed as an array, a key once
+however often the chunk has it, so a passage that a third of all rows hold costs a bucket one entry a chunk. The number
+of buckets follows the size of the corpus, so a bucket holds a bounded number of entries.
+
+The files are read and written with pyarrow's file systems (file, hdfs, s3, gs). A task that is run again writes a new
+file; only the rows of the run that ended name theirs.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import SLICE_BYTES, cut, ints, slices, small_batches
+from terrane.llm.common import BATCH_ROWS, SLICE_BYTES, Scratch, ints, slices, small_batches
 
 #: What a bucket holds on average at most, and the fewest buckets.
 BUCKET_KEYS, LEAST_BUCKETS = 400_000, 64
-
-STORE = "chunk long, n_bytes long, n_rows long, payload binary"
-MESSAGE = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("counts", pa.binary()), ("a", pa.binary()), ("s", pa.binary())])
-REPLY = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("codes", pa.binary())])
-MESSAGE_DDL = "bucket int, chunk long, docs binary, counts binary, a binary, s binary"
-REPLY_DDL = "bucket int, chunk long, codes binary"
-
-
-def store_chunks(docs: DataFrame, order_by: str = "doc_id", text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
-    """docs packed into chunks, each sorted by order_by and compressed, in the shared folder."""
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk = TaskContext.get().partitionId() << 32
-        for part in slices(batches, text, limit):
-            part = part.take(pa.array(np.argsort(ints(part.column(part.schema.get_field_index(order_by))), kind="stable")))
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-                out.write_batch(part)
-            body = sink.getvalue()
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([part.get_total_buffer_size()]), pa.array([part.num_rows]), pa.array([body.to_pybytes()], pa.binary())], names=["chunk", "n_bytes", "n_rows", "payload"])
-            chunk += 1
-
-    return cut(small_batches(docs).mapInArrow(packed, STORE))
-
-
-def unpack(payload: pa.Scalar) -> pa.RecordBatch:
-    with pa.ipc.open_stream(payload.as_buffer()) as stream:
+#: From one chunk's number to the next.
+STEP = 1 << (BATCH_ROWS - 1).bit_length()
+#: Chunks that a task works on, on average at most.
+TASK_CHUNKS = 8
+
+_STORE = "chunk long, path string, at long, size long, n_bytes long, n_rows long"
+
+
+class Store:
+    """The chunks of a table: one row each with the place of its bytes, in the shared folder until delete().
+
+    A chunk's number is a multiple of STEP, above its rows' count, so that number + place is a number of its own for each row.
+    """
+
+    def __init__(self, docs: DataFrame, order_by: str = "doc_id", text: str = "text", limit: int = SLICE_BYTES):
+        self.scratch = Scratch(docs.sparkSession, "chunks")
+        folder = f"{self.scratch.at}/files"
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, out, rows, at = TaskContext.get().partitionId() << 32, None, [], 0
+            for part in slices(batches, text, limit):
+                if out is None:
+                    files, base = fs.FileSystem.from_uri(folder)
+                    files.create_dir(base, recursive=True)
+                    name = f"{uuid.uuid4().hex}.chunks"
+                    out = files.open_output_stream(f"{base}/{name}", compression=None)
+                part = part.take(pa.array(np.argsort(ints(part.column(part.schema.get_field_index(order_by))), kind="stable")))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                    stream.write_batch(part)
+                body = sink.getvalue()
+                out.write(body)
+                rows.append((chunk, f"{folder}/{name}", at, body.size, part.get_total_buffer_size(), part.num_rows))
+                chunk, at = chunk + STEP, at + body.size
+            if out is not None:
+                out.close()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["chunk", "path", "at", "size", "n_bytes", "n_rows"])
+
+        self.rows = self.scratch.write(small_batches(docs).mapInArrow(packed, _STORE), "manifest")
+        total = self.rows.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+        self.n_bytes, self.n_chunks = total[0] or 0, total[1]
+        least = min(self.n_chunks, 2 * docs.sparkSession.sparkContext.defaultParallelism)
+        self.tasks = max(1, least, self.n_chunks // TASK_CHUNKS)
+
+    def buckets(self, keys_per_byte: float) -> int:
+        return max(LEAST_BUCKETS, int(self.n_bytes * keys_per_byte / BUCKET_KEYS) + 1)
+
+    def each(self, work: Callable[[int, pa.RecordBatch], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+        """What work(chunk, rows) yields for every chunk."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk, path, at, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                    yield from work(chunk, _read(path, at, size))
+
+        return self.rows.select("chunk", "path", "at", "size").repartition(self.tasks, "chunk").mapInArrow(run, ddl)
+
+    def with_mail(self, mail: list[DataFrame], work: Callable[[int, pa.RecordBatch, list[pa.Table]], Iterator[pa.RecordBatch]], schema: pa.Schema, ddl: str, missing_ok: bool = True, split: str | None = None) -> DataFrame:
+        """What work(chunk, rows, mail) yields for every chunk, with the rows of each table of mail that name the chunk.
+
+        Only mail is shuffled. Tables of mail have the columns chunk and others of binary type, the same in all.
+        missing_ok: chunks without mail are worked on too. split: a column of mail, whose values are separate groups.
+        """
+        columns = [c for c in mail[0].columns if c not in ("chunk", split)]
+        part = F.col(split).cast("long") if split else F.lit(0).cast("long")
+        both, kinds = None, len(mail)
+        for i, df in enumerate(mail):
+            df = df.select("chunk", part.alias("_part"), F.lit(i).alias("_kind"), F.lit(None).cast("string").alias("_path"), F.lit(0).cast("long").alias("_at"), F.lit(0).cast("long").alias("_size"), *columns)
+            both = df if both is None else both.unionByName(df)
+        nothing = [F.lit(None).cast("binary").alias(c) for c in columns]
+        place = self.rows.select("chunk", F.lit(0).cast("long").alias("_part"), F.lit(-1).alias("_kind"), F.col("path").alias("_path"), F.col("at").alias("_at"), F.col("size").alias("_size"), *nothing)
+        if split:  # every group needs the place: those beyond the first are few
+            more = mail[0].where(part > 0).select("chunk", part.alias("_part")).distinct().join(self.rows, "chunk")
+            place = place.unionByName(more.select("chunk", "_part", F.lit(-1).alias("_kind"), F.col("path").alias("_path"), F.col("at").alias("_at"), F.col("size").alias("_size"), *nothing))
+        both = both.unionByName(place)
+
+        def run(table: pa.Table) -> pa.Table:
+            kind = table.column("_kind").to_numpy()
+            own = table.filter(pa.array(kind == -1))
+            out = []
+            if own.num_rows and (missing_ok or table.num_rows > own.num_rows):
+                chunk, path, at, size = (own.column(c)[0].as_py() for c in ("chunk", "_path", "_at", "_size"))
+                letters = table.select(columns)
+                out = list(work(chunk, _read(path, at, size), [letters.filter(pa.array(kind == i)) for i in range(kinds)]))
+            return pa.Table.from_batches(out, schema=schema)
+
+        return both.repartition(self.tasks, "chunk", "_part").groupBy("chunk", "_part").applyInArrow(run, ddl)
+
+    def delete(self) -> None:
+        self.scratch.delete("files", "manifest")
+
+
+def _read(path: str, at: int, size: int) -> pa.RecordBatch:
+    files, name = fs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as source:
+        source.seek(at)
+        body = source.read_buffer(size)
+    with pa.ipc.open_stream(body) as stream:
         return stream.read_all().combine_chunks().to_batches()[0]
 
 
-def bucket_count(store: DataFrame, keys_per_byte: float) -> int:
-    total = store.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(LEAST_BUCKETS, int(total * keys_per_byte / BUCKET_KEYS) + 1)
-
-
-def _short(keys: np.ndarray) -> bytes:
-    """The upper six bytes of each. With the bucket, a pair of keys keeps over 100 bits, and a single one isn't shortened."""
-    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+def by_bucket(a: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of keys by bucket; the buckets that have some; where they begin and the last ends."""
+    at = (a % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    begin = np.flatnonzero(np.diff(at[order], prepend=-1))
+    return order, at[order][begin], np.append(begin, len(a))
 
 
-def _long(body: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(body) // 6, 8), np.uint8)
-    out[:, 2:] = body.reshape(-1, 6)
-    return out.view(np.uint64).reshape(-1)
+def parts(values: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """values between neighbouring edges as binary values."""
+    body = np.ascontiguousarray(values)
+    offsets = (np.asarray(edges, np.int64) * body.itemsize).astype(np.int64)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(body.tobytes())])
+    return whole.cast(pa.binary())
 
 
-def messages(chunk: int, docs: np.ndarray, a: np.ndarray, s: np.ndarray | None, buckets: int) -> Iterator[pa.RecordBatch]:
-    """One row for each bucket that gets keys of this chunk. docs must not decrease."""
-    if not len(a):
-        return
-    at = (a % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    at, docs, a = at[order], docs[order], a[order]
-    s = None if s is None else s[order]
-    edges = np.flatnonzero(np.diff(at, prepend=-1))
-    rows = []
-    for lo, hi in zip(edges, [*edges[1:], len(at)], strict=True):
-        own = docs[lo:hi]
-        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-        rows.append((int(at[lo]), chunk, own[first].tobytes(), np.diff(first, append=hi - lo).astype(np.uint32).tobytes(), a[lo:hi].tobytes() if s is None else _short(a[lo:hi]), b"" if s is None else _short(s[lo:hi])))
-    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*rows, strict=True), MESSAGE.types, strict=True)], schema=MESSAGE)
-
-
-def answered(codes: dict[int, np.ndarray], a: np.ndarray, buckets: int) -> np.ndarray:
-    """The codes of the keys that messages() sent, in the order in which it got them."""
-    out = np.zeros(len(a), np.uint8)
-    if len(a):
-        at = (a % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        out[order] = np.concatenate([codes[b] for b in np.unique(at)])
-    return out
-
-
-#: Gets for all keys of a bucket: a, s, document, place of the sender; gives a code each.
-Resolve = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-
-
-def resolve_in_buckets(sent: DataFrame, resolve: Resolve) -> DataFrame:
-    """The replies to messages: for each bucket and chunk the codes of its keys."""
-
-    def bucket(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("chunk")
-        column = lambda name, kind: [np.frombuffer(x.as_buffer(), kind) for x in table.column(name)]
-        s = column("s", np.uint8)
-        short = any(len(x) for x in s)
-        a = [_long(x) for x in column("a", np.uint8)] if short else column("a", np.uint64)
-        size = [len(x) for x in a]
-        docs = np.concatenate([np.repeat(d, n) for d, n in zip(column("docs", np.int64), column("counts", np.uint32), strict=True)])
-        s = _long(np.concatenate(s)) if short else np.zeros(sum(size), np.uint64)
-        codes = resolve(np.concatenate(a), s, docs, np.repeat(np.arange(len(size)), size))
-        ends = np.cumsum(size)
-        return pa.table([table.column("bucket"), table.column("chunk"), pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())], schema=REPLY)
-
-    return sent.groupBy("bucket").applyInArrow(bucket, REPLY_DDL)
-
-
-def with_replies(store: DataFrame, replies: list[DataFrame], work: Callable[[int, pa.RecordBatch, list[dict[int, np.ndarray]]], Iterator[pa.RecordBatch]], schema: pa.Schema, ddl: str) -> DataFrame:
-    """work(chunk, rows, codes by bucket for each of replies) for every chunk."""
-    marked, kinds = None, len(replies)
-    for i, part in enumerate(replies):
-        part = part.select("chunk", F.lit(i).alias("kind"), "bucket", "codes")
-        marked = part if marked is None else marked.unionByName(part)
-
-    def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[dict[int, np.ndarray]] = [{} for _ in range(kinds)]
-        for kind, bucket, codes in zip(right.column("kind").to_pylist(), right.column("bucket").to_pylist(), right.column("codes"), strict=True):
-            found[kind][bucket] = np.frombuffer(codes.as_buffer(), np.uint8)
-        out = []
-        for chunk, payload in zip(left.column("chunk").to_pylist(), left.column("payload"), strict=True):
-            out += work(chunk, unpack(payload), found)
-        return pa.Table.from_batches(out, schema=schema)
-
-    return store.select("chunk", "payload").groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(both, ddl)
+def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a column of packed arrays one after the other, and the size of each."""
+    each = [np.frombuffer(x.as_buffer(), kind) for x in column]
+    return (np.concatenate(each) if each else np.zeros(0, kind)), np.array([len(x) for x in each], np.int64)
 
 
 def first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

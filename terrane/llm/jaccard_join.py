@@ -1,18 +1,17 @@
 """Near duplicates by a grouped prefix join on word n-grams.
 
-A document is its set of distinct n-grams. All sets are ordered by one order of n-grams, rare ones first; two sets with
-Jaccard similarity of the threshold or more share an n-gram among the first of each (the prefix). The order is by the
-level of a sketch of counts over all documents (few levels, so that only common n-grams go last) and then by hash; any
-order is right, a good one is fast.
-
-1. Documents with the same prefix and size are one group, and those with the same set one class. Chunks send each
-   prefix n-gram once a group to hash buckets, which answer whether several groups have it, and whether a group holds
-   several classes (exchange.py). Texts don't move and unique n-grams, nearly all, end there.
-2. Groups are expanded to class representatives. Representatives that share an n-gram meet at a key. Each of like size
-   is verified with the key's smallest one only, and components are formed: near copies of one text end in one
-   component without any pair between them.
-3. Pairs that share a key but not a component are then verified, all that share enough of their prefixes: one of the two
-   prefixes ends first, and what the other set lacks of it is missing from the intersection. Sets are compared exactly.
+A document is its set of distinct n-grams, ordered by how many documents hold each (counted over the whole corpus), the
+rarest first. Two sets with Jaccard similarity of the threshold or more share an n-gram among the first of each (the
+prefix), and at the first that they share, what is left of each set bounds what they can have in common.
+
+1. Chunks send their n-grams to hash buckets, which answer with the number of documents (exchange.py).
+2. Documents with the same prefix and size are one group, those with the same words one class within it. Only a group's
+   n-grams that other documents have go on, with their place in the prefix and the size of the set.
+3. Pairs of groups are filtered by size and place where they share an n-gram. First each group meets only the group that
+   comes earliest in its n-gram's order of places (the star of a cluster); members are verified, links make components,
+   and pairs within one component need no test any more. What is left between components, usually little, is verified
+   too: rounds of stars as long as there are many such pairs, then all of them.
+4. Members are verified on their words, not on hashes.
 
 Defined results: null and empty texts have no n-grams and are linked with nothing; a text of fewer words than n has its
 whole sequence as one n-gram; a null doc_id is linked with nothing and has no component; rows that share a doc_id are one
@@ -21,6 +20,7 @@ vertex. Every input row gives a row.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,20 +29,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import LOWERED, Rolling, Scratch, Words, cut, ints, mix
-from terrane.llm.components import connected_components
-from terrane.llm.exchange import MESSAGE_DDL, answered, bucket_count, first_of, messages, resolve_in_buckets, store_chunks, unpack, with_replies
+from terrane.llm.exchange import STEP, Store, by_bucket, first_of, joined, parts
+from terrane.operators.components import connected_components
 
-#: Counters of the sketch (a power of two) and those of a block. A task reports counters from LEAST rows and COMMON times
-#: its mean counter on (a task has TASK_ROWS documents or so): n-grams that a fixed share of the documents hold, whatever the size of the corpus.
-SKETCH, BLOCK, LEAST, COMMON, TASK_ROWS = 1 << 23, 1 << 16, 2, 4.0, 8_000
 #: Bytes of a chunk.
 CHUNK_BYTES = 2 << 20
 #: Words of an n-gram and least similarity in the pipeline's stage.
 STAGE_WORDS, STAGE_PERCENT = 5, 80
+#: Rounds of stars at most before all pairs that are left, and how many pairs a member may have left for that.
+ROUNDS, FEW = 4, 4
 _NULL = np.iinfo(np.int64).min
-REPEATED, SEVERAL = 1, 2
-_NODE = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig1", pa.int64()), ("sig2", pa.int64()), ("lead", pa.bool_()), ("keys", pa.list_(pa.int64()))])
-_NODE_DDL = "chunk long, doc_id long, n long, sig1 long, sig2 long, lead boolean, keys array<long>"
+_SENT = "bucket int, chunk long, a binary, n binary"
+_MAIL = pa.schema([("chunk", pa.int64()), ("bucket", pa.binary()), ("codes", pa.binary())])
+_NODE = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("word1", pa.int64()), ("word2", pa.int64()), ("set1", pa.int64()), ("set2", pa.int64()), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32()))])
+_NODE_DDL = "doc_id long, row long, n long, word1 long, word2 long, set1 long, set2 long, keys array<long>, places array<int>"
 
 
 class Sets:
@@ -59,6 +59,7 @@ class Sets:
         h, row = h[order], row[order]
         new = np.ones(len(h), bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+        self.words = x
         self.ids = ints(batch.column(batch.schema.get_field_index("doc_id")))
         self.hash, self.row = h[new], row[new]
         self.edge = np.searchsorted(self.row, np.arange(batch.num_rows + 1))
@@ -66,103 +67,124 @@ class Sets:
 
 
 class Prefixes(Sets):
-    """Sets with signatures of set and group, and the keys to send: an n-gram and its group, a group and its set."""
+    """Sets with the n-grams of each prefix that other documents have, in order, and the signatures of words and prefix."""
 
-    def __init__(self, batch: pa.RecordBatch, words: int, percent: int, levels: np.ndarray):
+    def __init__(self, batch: pa.RecordBatch, words: int, percent: int, level_of):
         super().__init__(batch, words)
-        rows = len(self.n)
-        whole = Rolling(self.hash)
-        self.sig1 = whole.runs(self.edge[:-1], self.edge[1:])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(self.hash ^ np.uint64(0xA5A5)), dtype=np.uint64)])
-        self.sig2 = sums[self.edge[1:]] - sums[self.edge[:-1]]
-        level = levels[(self.hash & np.uint64(SKETCH - 1)).astype(np.int64)]
+        level = level_of(self.hash)
         order = np.lexsort((self.hash, level, self.row))
         size = np.where(self.n > 0, self.n + (-percent * self.n // 100) + 1, 0)
-        take = np.repeat(self.edge[:-1], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        self.token, self.token_row = self.hash[order][take], self.row[order][take]
         ends = np.cumsum(size)
-        self.group = mix(Rolling(self.token).runs(ends - size, ends) ^ mix(self.n.astype(np.uint64)))
+        place = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+        take = order[np.repeat(self.edge[:-1], size) + place]
+        token, row = self.hash[take], self.row[take]
+        known = mix(self.n.astype(np.uint64))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(token ^ np.uint64(0xA5A5)), dtype=np.uint64)])
+        self.group = np.stack([(Rolling(token).runs(ends - size, ends) ^ known), mix(sums[ends] - sums[ends - size] + known)], 1).view(np.int64)
+        self.digest = np.zeros((len(self.n), 2), np.int64)
+        text = self.words.joined(np.ones(len(self.words.start), bool), self.words.read)
+        for i in np.flatnonzero(self.n):
+            self.digest[i] = np.frombuffer(hashlib.blake2b(text[int(i)].as_buffer(), digest_size=16).digest(), np.int64)
+        # a chunk's first document of a group gives the group's n-grams
         some = np.flatnonzero((self.n > 0) & (self.ids != _NULL))
-        known = (self.ids != _NULL)[self.token_row]
-        self.token, self.token_row = self.token[known], self.token_row[known]
-        # keys of n-grams, then of groups
-        a = np.concatenate([self.token, mix(self.group[some])])
-        s = np.concatenate([self.group[self.token_row], self.sig1[some] ^ mix(self.sig2[some])])
-        self.key_row = np.concatenate([self.token_row, some])
-        self.is_group = np.arange(len(a)) >= len(self.token)
-        by_doc = np.argsort(self.key_row, kind="stable")  # rows are in order of their documents
-        self.a, self.s, self.key_row, self.is_group = a[by_doc], s[by_doc], self.key_row[by_doc], self.is_group[by_doc]
-        order, new, group = first_of(self.a, self.s)
-        self.lead = np.zeros(len(order), np.int64)
-        self.lead[order] = order[np.flatnonzero(new)][group] if len(order) else 0
-        self.sent = np.flatnonzero(self.lead == np.arange(len(self.a)))
-        assert rows == len(self.ids)
-
-
-def count_levels(store: DataFrame, words: int) -> np.ndarray:
-    """The level of each counter (one byte): 0, or for common n-grams the logarithm of how many documents have them.
-
-    All documents are counted; each task keeps its counters to itself but for the large ones, whose sums are few.
-    """
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SKETCH, np.uint32)
-        for batch in batches:
-            for payload in batch.column(0):
-                at, n = np.unique(Sets(unpack(payload), words).hash & np.uint64(SKETCH - 1), return_counts=True)
-                total[at.astype(np.int64)] += n.astype(np.uint32)
-        large = np.flatnonzero(total >= max(LEAST, COMMON * total.mean()))
-        edges = np.searchsorted(large, np.arange(0, SKETCH + 1, BLOCK))
-        blocks = np.flatnonzero(np.diff(edges))
-        slots = [(large[edges[b] : edges[b + 1]] % BLOCK).astype(np.uint16).tobytes() for b in blocks]
-        sums = [np.minimum(total[large[edges[b] : edges[b + 1]]], 65_535).astype(np.uint16).tobytes() for b in blocks]
-        yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(slots, pa.binary()), pa.array(sums, pa.binary())], names=["block", "slots", "sums"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(BLOCK)
-        for slots, sums in zip(table.column("slots"), table.column("sums"), strict=True):
-            total[np.frombuffer(slots.as_buffer(), np.uint16)] += np.frombuffer(sums.as_buffer(), np.uint16)
-        level = np.where(total > 0, np.floor(np.log2(np.maximum(1, total))) + 1, 0).astype(np.int8)
-        return pa.table({"block": table.column("block")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
-
-    rows = store.agg(F.sum("n_rows")).first()[0] or 0  # what a task counts must not depend on how the input was dealt out
-    got = store.select("payload").coalesce(max(1, rows // TASK_ROWS)).mapInArrow(count, "block long, slots binary, sums binary").groupBy("block").applyInArrow(add, "block long, levels binary").toArrow()
-    levels = np.zeros((SKETCH // BLOCK, BLOCK), np.int8)
-    for block, level in zip(got.column("block").to_pylist(), got.column("levels"), strict=True):  # SKETCH bytes at most
-        levels[block] = np.frombuffer(level.as_buffer(), np.int8)
-    return levels.reshape(-1)
-
-
-def _resolve(a: np.ndarray, s: np.ndarray, doc: np.ndarray, sender: np.ndarray) -> np.ndarray:
-    order = np.lexsort((sender, doc, s, a))
-    a, s = a[order], s[order]
-    new_a = np.concatenate([[True], a[1:] != a[:-1]])
-    new = new_a | np.concatenate([[True], s[1:] != s[:-1]])
-    group = np.cumsum(new_a) - 1
-    codes = np.zeros(len(order), np.uint8)
-    codes[order] = np.where(new, 0, REPEATED) | np.where(np.bincount(group, weights=new)[group] > 1, SEVERAL, 0)
-    return codes
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough. Each set of b moves once a pair; joins can split a hot a."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("grams_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("grams_b"))
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(y) < len(x):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
-
-    rows = pairs.join(right, "b").join(left, "a").select("a", "b", "grams_a", "grams_b")
-    return rows.mapInArrow(check, "a long, b long")
+        by, new, _ = first_of(self.group[some, 0], self.group[some, 1])
+        lead = np.zeros(len(self.n), bool)
+        lead[some[by[new]]] = True
+        held = lead[row] & (level[take] > 0)
+        self.token, self.place = token[held], place[held].astype(np.int32)
+        self.token_edge = np.searchsorted(row[held], np.arange(len(self.n) + 1))
+
+
+def _levels(total: np.ndarray) -> np.ndarray:
+    """One byte that grows with the count of documents, 0 for one."""
+    return np.minimum(255, np.floor(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)
+
+
+def _count(sent: DataFrame) -> DataFrame:
+    """For each bucket and chunk the levels of its n-grams."""
+
+    def bucket(table: pa.Table) -> pa.Table:
+        a, size = joined(table.column("a"), np.uint64)
+        n, _ = joined(table.column("n"), np.uint8)
+        order = np.argsort(a)
+        new = np.concatenate([[True], a[order][1:] != a[order][:-1]])
+        total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+        codes = np.zeros(len(a), np.uint8)
+        codes[order] = _levels(total)[np.cumsum(new) - 1]
+        own = np.array([table.column("bucket")[0].as_py()], np.int32).tobytes()
+        return pa.table([table.column("chunk"), pa.array([own] * len(size), pa.binary()), parts(codes, np.append(0, np.cumsum(size)))], schema=_MAIL)
+
+    return sent.groupBy("bucket").applyInArrow(bucket, "chunk long, bucket binary, codes binary")
+
+
+def _level_of(mail: pa.Table, buckets: int):
+    """Gives the levels of a chunk's n-grams from its mail, which has those of each distinct one in order of buckets."""
+    codes = {int.from_bytes(b.as_py(), "little"): np.frombuffer(c.as_buffer(), np.uint8) for b, c in zip(mail.column("bucket"), mail.column("codes"), strict=True)}
+
+    def level_of(h: np.ndarray) -> np.ndarray:
+        own, which = np.unique(h, return_inverse=True)
+        if not len(own):
+            return np.zeros(0, np.uint8)
+        order, some, _ = by_bucket(own, buckets)
+        level = np.zeros(len(own), np.uint8)
+        level[order] = np.concatenate([codes[b] for b in some.tolist()])
+        return level[which]
+
+    return level_of
+
+
+def _grams(text: bytes, words: int) -> set:
+    w = text.split(b" ")
+    return {tuple(w)} if len(w) < words else set(zip(*(w[i:] for i in range(words)), strict=False))
+
+
+class Verifier:
+    """Compares the sets of pairs of rows on their words, which it reads once for each row asked for."""
+
+    def __init__(self, store: Store, scratch: Scratch, words: int, percent: int):
+        self.store, self.scratch, self.words, self.percent, self.round = store, scratch, words, percent, 0
+
+    def _texts(self, rows: DataFrame) -> DataFrame:
+        schema = pa.schema([("row", pa.int64()), ("text", pa.binary())])
+
+        def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                asked = [np.array(x, np.int64).tobytes() for x in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(asked, pa.binary())], names=["chunk", "rows"])
+
+        def texts(chunk: int, batch: pa.RecordBatch, mail: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+            asked = np.unique(joined(mail[0].column("rows"), np.int64)[0])
+            own = batch.take(pa.array(asked - chunk))
+            x = Words(own.column(own.schema.get_field_index("text")), LOWERED)
+            yield pa.RecordBatch.from_arrays([pa.array(asked), x.joined(np.ones(len(x.start), bool), x.read)], schema=schema)
+
+        asked = rows.groupBy((F.col("row") - F.pmod("row", F.lit(STEP))).alias("chunk")).agg(F.collect_set("row").alias("rows"))
+        return self.store.with_mail([asked.mapInArrow(packed, "chunk long, rows binary")], texts, schema, "row long, text binary", missing_ok=False)
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """Those pairs (a, b) whose sets are similar enough. Joins can split a row with many pairs."""
+        words, percent = self.words, self.percent
+        rows = pairs.select(F.col("a").alias("row")).unionByName(pairs.select(F.col("b").alias("row"))).distinct()
+        texts = self.scratch.write(self._texts(rows), f"texts{self.round}")
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, one = None, set()
+            for batch in batches:
+                keep = np.zeros(batch.num_rows, bool)
+                for i, (a, x, y) in enumerate(zip(batch.column(0), batch.column(2), batch.column(3), strict=True)):
+                    if a != last:
+                        last, one = a, _grams(x.as_py(), words)
+                    other = _grams(y.as_py(), words)
+                    both = len(one & other)
+                    keep[i] = 100 * both >= percent * (len(one) + len(other) - both)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
+
+        left, right = texts.withColumnsRenamed({"row": "a", "text": "text_a"}), texts.withColumnsRenamed({"row": "b", "text": "text_b"})
+        found = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
+        found = self.scratch.write(found, f"links{self.round}")
+        self.scratch.delete(f"texts{self.round}")
+        self.round += 1
+        return found
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -171,100 +193,96 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 85) -> DataF
     Documents link when 100 * intersection >= percent * union of their sets of `words`-grams; component_id is the
     smallest doc_id reachable by links, the document's own included.
     """
-    sc = docs.sparkSession.sparkContext
-    store = store_chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), limit=CHUNK_BYTES)
-    levels = sc.broadcast(count_levels(store, words))
-    buckets = bucket_count(store, (1 - percent / 100) / 6.0)
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = Prefixes(unpack(payload), words, percent, levels.value)
-                yield from messages(chunk, x.ids[x.key_row[x.sent]], x.a[x.sent], x.s[x.sent], buckets)
-
-    def nodes_of(chunk: int, rows: pa.RecordBatch, codes: list[dict[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        x = Prefixes(rows, words, percent, levels.value)
-        code = np.zeros(len(x.a), np.uint8)
-        code[x.sent] = answered(codes[0], x.a[x.sent], buckets)
-        later = x.lead != np.arange(len(x.a))
-        code = code[x.lead] | np.where(later, REPEATED, 0)
-        lead = np.zeros(len(x.n), bool)
-        lead[x.key_row[x.is_group & (code & REPEATED == 0)]] = True
-        own = np.flatnonzero((code & SEVERAL > 0) & lead[x.key_row])
-        keys = (x.a[own] & ~np.uint64(1)) | x.is_group[own].astype(np.uint64)  # odd: a whole prefix
-        row = x.key_row[own]
-        order = np.argsort(row, kind="stable")
-        edges = np.searchsorted(row[order], np.arange(len(x.n) + 1))
-        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(keys[order].view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x.n), chunk)), pa.array(x.ids), pa.array(x.n), pa.array(x.sig1.view(np.int64)), pa.array(x.sig2.view(np.int64)), pa.array(lead), lists], schema=_NODE)
-
-    replies = cut(resolve_in_buckets(store.select("chunk", "payload").mapInArrow(send, MESSAGE_DDL), _resolve))
-    nodes = cut(with_replies(store, [replies], nodes_of, _NODE, _NODE_DDL))
-
-    # keys at which representatives meet
-    scratch = Scratch(docs.sparkSession)
-    met = nodes.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "doc_id", F.col("n").cast("int").alias("n"))
-    shared = met.groupBy("key").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").select("key", "a")
-    members = scratch.write(met.join(shared, "key"), "members")
-    alike = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    odd = F.max(F.col("key").bitwiseAND(F.lit(1)) == 1)
-
-    def enough(x: Column, y: Column, keys: Column, whole: Column, share: float) -> Column:
-        """Whether sets of x and y n-grams can be similar if their prefixes share so many keys."""
-        least = -F.floor(-percent * (x + y) / (100 + percent))
-        prefix = lambda n: n + F.floor(-percent * n / 100) + 1
-        return whole | (keys + 1e-6 >= share * F.least(prefix(x) - (x - least), prefix(y) - (y - least)))
-
-    sizes = members.select(F.col("doc_id").alias("a"), F.col("n").alias("a_n")).distinct()
-    star = members.where("a <> doc_id").groupBy("a", F.col("doc_id").alias("b"), "n").agg(F.count(F.lit(1)).alias("keys"), odd.alias("whole")).join(sizes, "a")
-    # not all keys of a pair have the same first, so half of what is needed is asked for; step 3 leaves nothing out
-    star = star.where(alike(F.col("n"), F.col("a_n")) & enough(F.col("n"), F.col("a_n"), F.col("keys"), F.col("whole"), 0.5))
-    star = scratch.write(star.select("a", "b").distinct(), "star")
-
-    def sets_of(chunk: int, rows: pa.RecordBatch, codes: list[dict[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if codes[0]:
-            x = Sets(rows, words)
-            asked = np.flatnonzero(np.isin(x.ids, np.frombuffer(codes[0][0].tobytes(), np.int64)) & (x.n > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(x.ids[asked]), pa.array([x.hash[x.edge[i] : x.edge[i + 1]].tobytes() for i in asked], pa.binary())], schema=set_schema)
-
-    set_schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.binary())])
-    needed = nodes.where("lead").select("chunk", "doc_id").join(members.select("doc_id").distinct(), "doc_id").groupBy("chunk").agg(F.collect_list("doc_id").alias("ids"))
-    asked = needed.select("chunk", "ids").mapInArrow(_packed_ids, "bucket int, chunk long, codes binary")
-    sets = scratch.write(with_replies(store, [asked], sets_of, set_schema, "doc_id long, grams binary"), "sets")
-    del store
-
-    first = cut(_verified(star, sets, percent))
-    part = connected_components(first)
-    # pairs at a key that are in two components
-    placed = members.join(part.withColumnRenamed("v", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("c"))
-    apart = members.join(part.withColumnRenamed("v", "doc_id"), "doc_id", "left").groupBy("key").agg(F.min(F.coalesce("component", "doc_id")).alias("lo"), F.max(F.coalesce("component", "doc_id")).alias("hi")).where("lo <> hi").select("key")
-    placed = scratch.write(placed.join(apart, "key"), "placed")
-    scratch.delete("members")
-    kinds = placed.groupBy("key", "c").agg(F.min("n").alias("c_lo"), F.max("n").alias("c_hi"))
-    others = kinds.withColumnsRenamed({"c": "d", "c_lo": "d_lo", "c_hi": "d_hi"})
-    met_kinds = kinds.join(others, "key").where(f"c < d AND 100 * c_hi >= {percent} * d_lo AND 100 * d_hi >= {percent} * c_lo").select("key", "c", "d")
-    one = placed.select("key", "c", F.col("doc_id").alias("x"), F.col("n").alias("x_n"))
-    two = placed.select("key", F.col("c").alias("d"), F.col("doc_id").alias("y"), F.col("n").alias("y_n"))
-    rest = met_kinds.join(one, ["key", "c"]).join(two, ["key", "d"]).where(alike(F.col("x_n"), F.col("y_n")))
-    rest = rest.groupBy("x", "y", "x_n", "y_n").agg(F.count(F.lit(1)).alias("keys"), odd.alias("whole"))
-    rest = rest.where(enough(F.col("x_n"), F.col("y_n"), F.col("keys"), F.col("whole"), 1.0))
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    links = cut(first.unionByName(_verified(scratch.write(rest, "rest"), sets, percent)))
-    scratch.delete("placed", "rest", "sets", "star")
-    found = connected_components(links).withColumnRenamed("v", "rep")
-
-    # every document has its class's representative, and that one's component
-    leads = nodes.where("lead").select("sig1", "sig2", "n", F.col("doc_id").alias("rep")).join(found, "rep", "left")
-    leads = leads.select("sig1", "sig2", "n", F.coalesce("component", "rep").alias("component"))
-    done = nodes.select("doc_id", "n", "sig1", "sig2").join(leads, ["sig1", "sig2", "n"], "left")
-    real = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
-    return done.select(real.alias("doc_id"), F.col("n").alias("n_shingles"), F.when(real.isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-
-
-def _packed_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = [np.asarray(x, np.int64).tobytes() for x in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), batch.column(0), pa.array(ids, pa.binary())], names=["bucket", "chunk", "codes"])
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
+    store = Store(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), limit=CHUNK_BYTES)
+    buckets = store.buckets(1 / 6.5)
+
+    def send(chunk: int, rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        token, n = np.unique(Sets(rows, words).hash, return_counts=True)
+        order, some, edges = by_bucket(token, buckets)
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(np.full(len(some), chunk)), parts(token[order], edges), parts(np.minimum(n, 255).astype(np.uint8)[order], edges)], names=["bucket", "chunk", "a", "n"])
+
+    def nodes_of(chunk: int, rows: pa.RecordBatch, mail: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        x = Prefixes(rows, words, percent, _level_of(mail[0], buckets))
+        edges = pa.array(x.token_edge, pa.int32())
+        columns = [x.ids, chunk + np.arange(len(x.n)), x.n, x.digest[:, 0], x.digest[:, 1], x.group[:, 0], x.group[:, 1]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in columns), pa.ListArray.from_arrays(edges, pa.array(x.token.view(np.int64))), pa.ListArray.from_arrays(edges, pa.array(x.place))], schema=_NODE)
+
+    nodes = scratch.write(store.with_mail([_count(store.each(send, _SENT))], nodes_of, _NODE, _NODE_DDL), "nodes")
+    real = nodes.where((F.col("n") > 0) & (F.col("doc_id") != _NULL))
+    # classes (the same words), in groups (the same prefix and size)
+    classes = real.groupBy("word1", "word2").agg(F.min(F.struct("doc_id", "row")).alias("of"), F.min("n").alias("n"), F.min("set1").alias("set1"), F.min("set2").alias("set2"))
+    classes = scratch.write(classes.select("word1", "word2", "set1", "set2", "n", F.col("of.doc_id").alias("least"), F.col("of.row").alias("row")), "classes")
+    groups = classes.groupBy("set1", "set2").agg(F.min("row").alias("lead"), F.count(F.lit(1)).alias("size"))
+    held = real.where(F.size("keys") > 0).groupBy("set1", "set2").agg(F.min_by(F.struct("n", "keys", "places"), "row").alias("of"))
+    entries = held.select("set1", "set2", F.col("of.n").cast("int").alias("n"), F.explode(F.arrays_zip("of.keys", "of.places")).alias("e")).select("set1", "set2", "n", F.col("e.keys").alias("key"), F.col("e.places").alias("place"))
+    several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key")
+    rest_of = F.col("n") - F.col("place")
+    # a set of up to `most` n-grams can be similar to one of n of which the first shared stands at place
+    most = (F.floor(rest_of * F.lit(100 + percent) / F.lit(percent) + F.lit(1e-9)) - F.col("n")).cast("int").alias("most")
+    entries = scratch.write(entries.join(several, "key").join(groups.select("set1", "set2", "lead"), ["set1", "set2"]).select("key", "set1", "set2", "n", "place", "lead", most), "entries")
+    verifier = Verifier(store, scratch, words, percent)
+
+    # each group with the earliest of each of its n-grams, each class with the lead of its group
+    centre = entries.groupBy("key").agg(F.min(F.struct("place", "lead", "n", "most")).alias("c")).select("key", F.col("c.lead").alias("a"), F.col("c.n").alias("a_n"), F.col("c.most").alias("a_most"))
+    met = entries.join(centre, "key").where("lead <> a AND n <= a_most AND a_n <= most").select("a", "set1", "set2").distinct()
+    members = classes.select("set1", "set2", F.col("row").alias("b"))
+    inside = members.join(groups.where("size > 1"), ["set1", "set2"]).where("b <> lead").select(F.col("lead").alias("a"), "b")
+    same_id = scratch.write(_rows_of_one_document(real, classes), "same_id")
+    tested = scratch.write(met.join(members, ["set1", "set2"]).select("a", "b").unionByName(inside).distinct(), "tested0")
+    links = same_id.unionByName(verifier.links(tested))
+    part = cut(connected_components(links))
+
+    # what is left between components: members where they share an n-gram, or a whole prefix
+    whole = members.join(groups.where("size > 1"), ["set1", "set2"]).join(classes.select(F.col("row").alias("b"), "n"), "b")
+    whole = whole.select(F.xxhash64("set1", "set2", F.lit(1)).alias("key"), F.col("b").alias("x"), F.col("n").cast("int").alias("n"), F.lit(0).alias("place"), F.col("n").cast("int").alias("most"))
+    placed = entries.join(members, ["set1", "set2"]).select("key", F.col("b").alias("x"), "n", "place", "most").unionByName(whole)
+    for turn in range(1, ROUNDS + 1):
+        now = placed.join(part.withColumnRenamed("v", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+        apart = now.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct(_order(turn), "x", "n", "most", "c")).alias("m")).where("lo <> hi")
+        now = scratch.write(now.join(apart.select("key", "m"), "key").select("key", "x", "n", "most", "c", F.col("m.x").alias("m_x"), F.col("m.n").alias("m_n"), F.col("m.most").alias("m_most"), F.col("m.c").alias("m_c")), f"now{turn}")
+        few = now.where("c <> m_c").select("key", "x", "n", "most", "c")
+        others = now.select("key", F.col("x").alias("y"), F.col("n").alias("y_n"), F.col("most").alias("y_most"), F.col("c").alias("y_c"), (F.col("c") != F.col("m_c")).alias("also"))
+        left = few.join(others, "key").where("c <> y_c AND n <= y_most AND y_n <= most AND (NOT also OR x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        rows = now.count()
+        done = rows == 0 or turn == ROUNDS or left.limit(FEW * rows + 1).count() <= FEW * rows
+        if not done:  # another star: all against the member that this turn puts first
+            left = now.where("c <> m_c AND n <= m_most AND m_n <= most").select(F.least("x", "m_x").alias("a"), F.greatest("x", "m_x").alias("b"))
+        if rows:
+            seen = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            left = scratch.write(left.distinct().join(seen, ["a", "b"], "left_anti"), f"tested{turn}")
+            tested = seen.unionByName(left)
+            new = verifier.links(left)
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                part = cut(connected_components(links))
+        if done:
+            break
+
+    # every class has its component's smallest doc_id, and every document its class's
+    found = classes.join(part.withColumnRenamed("v", "row"), "row", "left").select("word1", "word2", "least", F.coalesce("component", "row").alias("component"))
+    least = found.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = scratch.write(found.join(least, "component").select("word1", "word2", "component_id"), "found")
+    rows = real.select("doc_id", "n", "word1", "word2").join(found, ["word1", "word2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    own = F.when(F.col("doc_id") != _NULL, F.col("doc_id"))
+    alone = nodes.where((F.col("n") == 0) | (F.col("doc_id") == _NULL)).select(own.alias("doc_id"), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    store.delete()
+    return rows.unionByName(alone)
+
+
+def _order(turn: int) -> Column:
+    """Which member of a key all others meet: the earliest first, then by a hash that changes with the turn."""
+    return F.col("place").cast("long").alias("at") if turn == 1 else F.xxhash64("c", F.lit(turn)).alias("at")
+
+
+def _rows_of_one_document(real: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id; hardly any document has such rows."""
+    again = real.groupBy("doc_id").agg(F.min("word1").alias("lo"), F.max("word1").alias("hi")).where("lo <> hi").select("doc_id")
+    own = real.join(again, "doc_id").select("doc_id", "word1", "word2").join(classes.select("word1", "word2", "row"), ["word1", "word2"]).select("doc_id", "row")
+    first = own.groupBy("doc_id").agg(F.min("row").alias("a"))
+    return own.join(first, "doc_id").where("row <> a").select("a", F.col("row").alias("b")).distinct()
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Rolling, byte_symbols, ints, mix, slices, small_batches, text_bytes
+from terrane.llm.common import Rolling, byte_symbols, ints, mix, run_hashes, same_runs, slices, small_batches, text_bytes
 
 SPACE = "▁"
 #: Exponent of a point of score; seed of the draws; what a character's bytes cost beside the least score.
@@ -70,6 +70,7 @@ class Encoder:
         stop = np.cumsum(size)
         h = Rolling(byte_symbols(raw)).runs(stop - size, stop)
         order = np.argsort(h)
+        self.pieces, self.begin = raw, (stop - size)[order]
         self.known, self.id = h[order], np.array(ids)[order]
         self.weight = np.array([vocabulary.scores[i] for i in ids])[order] * scale
         self.lengths = np.unique(size)
@@ -114,7 +115,10 @@ class Encoder:
             some = self.maybe[h >> np.uint64(44)]
             h, i = h[some], near[some]
             k = np.searchsorted(self.known, h)
-            same = self.known[np.minimum(k, len(self.known) - 1)] == h
+            k = np.minimum(k, len(self.known) - 1)
+            same = self.known[k] == h
+            i, k = i[same], k[same]
+            same = same_runs(raw, i, self.pieces, self.begin[k], np.full(len(i), n))
             i, k = i[same], k[same]
             single[i[own[i] == n]] = True
             starts.append(i)
@@ -162,18 +166,23 @@ class Encoder:
         row = np.searchsorted(offsets, begin, side="right") - 1
         number = np.arange(len(begin)) - np.searchsorted(begin, offsets)[row]
         draw = mix(mix(keys.astype(np.uint64) ^ self.seed)[row] ^ mix(number.astype(np.uint64)))
-        h = Rolling(byte_symbols(raw)).runs(begin, end)
+        h = run_hashes(raw, begin, end)
         order = np.argsort(h, kind="stable")
         new = np.ones(len(order), bool)
         new[1:] = h[order][1:] != h[order][:-1]
-        one = order[new]
+        one, word = order[new], np.cumsum(new) - 1
+        # units with one hash share a lattice if they are the same bytes; others get their own
+        size = (end - begin)[order]
+        odd = np.flatnonzero((size != size[new][word]) | ~same_runs(raw, begin[order], raw, begin[one][word], size))
+        word[odd] = len(one) + np.arange(len(odd))
+        one = np.concatenate([one, order[odd]])
         size = end[one] - begin[one]
         edge = np.concatenate([[0], np.cumsum(size)])
         bytes_at = np.repeat(begin[one] - edge[:-1], size) + np.arange(edge[-1])
         units = raw[bytes_at]
         a, rank, share, piece, first_byte, width = self._lattice(units, edge)
         # backward sampling, in order of the unit so that neighbours are near
-        who, word = order, np.cumsum(new) - 1
+        who = order
         node, home = edge[1:][word] + word, edge[:-1][word] + word
         taken, step = [], 0
         while len(who):

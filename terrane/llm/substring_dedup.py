@@ -1,12 +1,12 @@
-"""Substring deduplication by hashes of anchor spans and windows of words.
+"""Substring deduplication by seed and extend.
 
-Winnowed anchors of six words are the seeds; the windows of one document that share one make a span, and equal spans, or
-equal windows where spans differ, are the matches (see repeats.py). They are compared by hash: documents are not joined
-on seeds, matches are not extended between them and maximal repeats are not formed. Words that a repeated run of WIDTH words
-covers are removed; the first occurrence stays.
+Winnowed anchors of six words are the seeds. Each is joined with the place that has it first, the texts around both are
+compared word by word both ways, and the equal runs of WIDTH words or more are the maximal repeats (see repeats.py). Words
+that a repeated run covers are removed; the first occurrence stays.
 
 Defined results: a null or empty text has no words and an empty kept text; a null doc_id sorts before all others; rows
-that share a doc_id are told apart by the order in which they were stored. Empty tables give no rows.
+that share a doc_id are told apart by the order in which they were stored. Empty tables give no rows. A text of 2 ** 28
+words or more raises an error; shorter ones are treated whole.
 """
 
 from __future__ import annotations
@@ -17,37 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terrane.llm.common import PLAIN, Words
-from terrane.llm.exchange import store_chunks
-from terrane.llm.repeats import Kind, Spans, mark_repeats
+from terrane.llm.exchange import Store
+from terrane.llm.repeats import Chunk, Kind, mark_repeats
 
 WIDTH, SEED = 20, 6
 
 
-def join_words(words: Words, keep: np.ndarray) -> pa.Array:
-    """The kept words of each row joined by one space."""
-    start, stop, row = words.start[keep], words.stop[keep], words.row[keep]
-    n_rows = len(words.count)
-    edge = np.zeros(len(words.raw) + 1, np.int8)
-    edge[start] += 1
-    edge[stop] -= 1  # a word may begin where another ends
-    body = words.raw[np.cumsum(edge[:-1], dtype=np.int8).astype(bool)]
-    gap = np.ones(len(row), np.int64)  # no space after the last word of a row
-    gap[:-1] = row[1:] == row[:-1]
-    gap[-1:] = 0
-    size = stop - start
-    ends = np.cumsum(size + gap)
-    out = np.full(int(ends[-1]) if len(ends) else 0, 0x20, np.uint8)
-    own = np.ones(len(out), bool)
-    own[ends[gap == 1] - 1] = False
-    out[own] = body
-    offsets = np.zeros(n_rows + 1, np.int64)
-    np.add.at(offsets, row + 1, size + gap)
-    return pa.Array.from_buffers(pa.large_string(), n_rows, [None, pa.py_buffer(np.cumsum(offsets).tobytes()), pa.py_buffer(out.tobytes())]).cast(pa.string())
-
-
-def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    words = Words(batch.column(batch.schema.get_field_index("text")), PLAIN)
-    return words.hash, words.first
+def _words(column: pa.Array) -> Words:
+    return Words(column, PLAIN)
 
 
 def _counts(mask: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -67,12 +44,12 @@ def dedup_substrings(docs: DataFrame, keep: tuple[str, ...] = (), width: int = W
     arrow = docs.limit(0).toArrow().schema
     schema = pa.schema([*arrow, ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
-    def finish(rows: pa.RecordBatch, spans: Spans, covered: np.ndarray) -> pa.RecordBatch:
-        words = Words(rows.column(rows.schema.get_field_index("text")), PLAIN)
+    def finish(rows: pa.RecordBatch, chunk: Chunk) -> pa.RecordBatch:
+        words, covered = chunk.text, chunk.covered()
         own = [rows.column(i).cast(f.type) for i, f in enumerate(arrow)]
-        return pa.RecordBatch.from_arrays([*own, pa.array(words.count), pa.array(_counts(covered, words.first)), join_words(words, ~covered)], schema=schema)
+        return pa.RecordBatch.from_arrays([*own, pa.array(words.count), pa.array(_counts(covered, words.first)), words.joined(~covered, words.raw).cast(pa.string())], schema=schema)
 
-    return mark_repeats(store_chunks(docs), Kind(width, seed, False, _symbols, 6.0), finish, schema, ddl)
+    return mark_repeats(Store(docs), Kind(width, seed, False, _words, 6.0), finish, schema, ddl)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

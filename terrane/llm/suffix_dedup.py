@@ -1,16 +1,15 @@
 """Deduplication of long byte strings with a logarithmic family of suffix indexes.
 
-Full suffix arrays of all bytes cost more processor time and disk than the deduplication itself needs. Each batch gets
-a sparse one: of every WIDTH bytes at least one suffix is sampled (its first SEED bytes have the least hash, so equal
-strings sample the same one), and the sampled suffixes are sorted by the hash of those bytes and of the span of windows
-around them. Suffixes are dealt to buckets by hash. In a bucket the chunks are batches of an index family, whose levels
-merge geometrically, so that n batches leave about log2(n) levels and each entry is merged about log2(n) times. Batches
-are not scanned against the levels that exist: all levels become one after the last batch, and one sort of all keys
-finds the matches. The family ends with the bucket, so later batches can't be held against it. A match names the
-smallest document that has the span. Where spans differ around one sample, the exact WIDTH-byte windows are compared the same way (see repeats.py).
+Of every WIDTH bytes at least one suffix is sampled: the one whose first SEED bytes have the least hash, so that equal
+strings sample the same one. Sampled suffixes are dealt to buckets by that hash. In a bucket they come in batches in the
+order of their documents. Each batch is sorted and merge-scanned against the levels that exist; what a level has already
+is a match with its first place, the rest makes a new level, and levels of like size merge (linearly, both are sorted).
+So n batches leave about log2(n) levels and each entry is merged about log2(n) times. Matches are extended both ways
+byte by byte, and strings of WIDTH bytes that the first place doesn't settle go the same way by themselves (repeats.py).
 
 Defined results: a null or empty text has no bytes, no spans and the digest of nothing; a null doc_id sorts before all
-others; rows that share a doc_id do not repeat each other. Empty tables give no rows.
+others; rows that share a doc_id do not repeat each other. Empty tables give no rows. A text
+of 2 ** 28 bytes or more raises an error; shorter ones are treated whole.
 """
 
 from __future__ import annotations
@@ -19,85 +18,76 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from terrane.llm.common import byte_symbols, text_bytes
-from terrane.llm.exchange import store_chunks
-from terrane.llm.repeats import DOUBTED, REPEATED, Kind, Spans, mark_repeats
+from terrane.llm.common import Bytes
+from terrane.llm.exchange import Store
+from terrane.llm.repeats import Chunk, Kind, mark_repeats
 
 WIDTH, SEED = 50, 20
 #: Bytes of a chunk; each byte is a symbol of eight bytes in several arrays.
 CHUNK_BYTES = 2 << 20
+#: Suffixes of a batch.
+BATCH_KEYS = 1 << 15
 _DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
 class Level:
-    """Distinct (anchor, span) keys in order, each with its smallest document."""
+    """Distinct keys in order, and what each stands for."""
 
-    def __init__(self, a: np.ndarray, s: np.ndarray, doc: np.ndarray):
-        order = np.lexsort((doc, s, a))
-        a, s, doc = a[order], s[order], doc[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (s[1:] != s[:-1])
-        self.a, self.s, self.doc = a[new], s[new], doc[new]
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, values
 
     def __len__(self) -> int:
-        return len(self.a)
+        return len(self.keys)
+
+    def scan(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of keys (in order) the level has, and their values."""
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found = np.flatnonzero(self.keys[at] == keys)
+        return found, self.values[at[found]]
 
     def merged(self, other: Level) -> Level:
-        return Level(*(np.concatenate([x, y]) for x, y in ((self.a, other.a), (self.s, other.s), (self.doc, other.doc))))
+        """Both levels as one; no key is in both."""
+        at = np.searchsorted(self.keys, other.keys)
+        return Level(np.insert(self.keys, at, other.keys), np.insert(self.values, at, other.values))
 
 
 class IndexFamily:
-    """Levels whose sizes at least double from one to the next."""
+    """Levels whose sizes at least double from one to the next; a key is in one of them."""
 
     def __init__(self):
         self.levels: list[Level] = []
 
-    def insert(self, batch: Level) -> None:
-        while self.levels and len(self.levels[-1]) <= 2 * len(batch):
-            batch = self.levels.pop().merged(batch)
-        self.levels.append(batch)
-
-    def whole(self) -> Level:
-        while len(self.levels) > 1:
-            self.levels.append(self.levels.pop().merged(self.levels.pop()))
-        return self.levels[0]
-
-
-def family_resolver(across: bool):
-    """Codes of a bucket's keys by a family of levels, batch by batch."""
-
-    def resolve(a: np.ndarray, s: np.ndarray, doc: np.ndarray, sender: np.ndarray) -> np.ndarray:
-        family, edges = IndexFamily(), [*np.flatnonzero(np.diff(sender, prepend=-1)), len(a)]
-        least = 1 << 13  # small batches wait for others
-        lo = 0
-        for hi in edges[1:]:
-            if hi - lo >= least or hi == len(a):
-                family.insert(Level(a[lo:hi], s[lo:hi], doc[lo:hi]))
-                lo = hi
-        index = family.whole()
-        # merge-scan of all keys with the index: both are in order
-        order = np.lexsort((s, a))
-        new = np.ones(len(order), bool)
-        new[1:] = (a[order][1:] != a[order][:-1]) | (s[order][1:] != s[order][:-1])
-        at = np.cumsum(new) - 1
-        new_a = np.concatenate([[True], index.a[1:] != index.a[:-1]])
-        group = np.cumsum(new_a) - 1
-        several = (np.bincount(group)[group] > 1)[at]
-        codes = np.zeros(len(order), np.uint8)
-        codes[order] = np.where(doc[order] > index.doc[at], REPEATED, np.where(several, DOUBTED, 0))
-        return codes
-
-    return resolve
-
-
-def _symbols(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    raw, offsets = text_bytes(batch.column(batch.schema.get_field_index("text")))
-    return byte_symbols(raw), offsets
-
-
-def _finish(rows: pa.RecordBatch, spans: Spans, covered: np.ndarray) -> pa.RecordBatch:
-    raw, offsets = text_bytes(rows.column(rows.schema.get_field_index("text")))
+    def add(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The first value that was ever added with each key; keys of the batch that are new join the family."""
+        order = np.argsort(keys, kind="stable")
+        own, first, which = np.unique(keys[order], return_index=True, return_inverse=True)
+        known, new = values[order[first]], np.ones(len(own), bool)
+        for level in self.levels:
+            found, value = level.scan(own)
+            known[found], new[found] = value, False
+        if new.any():
+            batch = Level(own[new], known[new])
+            while self.levels and len(self.levels[-1]) <= 2 * len(batch):
+                batch = self.levels.pop().merged(batch)
+            self.levels.append(batch)
+        out = np.zeros(len(keys), known.dtype)
+        out[order] = known[which]
+        return out
+
+
+def family_earliest(a: np.ndarray, doc: np.ndarray, sender: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The first holder of each key, batch by batch in the order of documents."""
+    order, family = np.lexsort((place, sender, doc)), IndexFamily()
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), BATCH_KEYS):
+        batch = order[lo : lo + BATCH_KEYS]
+        out[batch] = family.add(a[batch], batch)
+    return out
+
+
+def _finish(rows: pa.RecordBatch, chunk: Chunk) -> pa.RecordBatch:
+    raw, offsets, covered = chunk.text.raw, chunk.first, chunk.covered()
     count = lambda mask: (sums := np.concatenate([[0], np.cumsum(mask, dtype=np.int64)]))[offsets[1:]] - sums[offsets[:-1]]
     begins = covered.copy()
     if len(begins):
@@ -116,5 +106,5 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> DataFr
 
     Remove each byte that a string of `width` bytes covers which also starts in a document with a smaller doc_id.
     """
-    store = store_chunks(docs.select("doc_id", "text"), limit=CHUNK_BYTES)
-    return mark_repeats(store, Kind(width, seed, True, _symbols, 1.0), _finish, _SCHEMA, _DDL, family_resolver)
+    store = Store(docs.select("doc_id", "text"), limit=CHUNK_BYTES)
+    return mark_repeats(store, Kind(width, seed, True, Bytes, 1.0), _finish, _SCHEMA, _DDL, family_earliest)

@@ -14,7 +14,7 @@ from terrane.llm.jaccard_join import near_duplicates, one_of_each
 from terrane.llm.quality_classifier import fit_ordinal, grade_documents
 from terrane.llm.sentencepiece_sampling import Decoder, Encoder, load_vocabulary, round_trip
 from terrane.llm.substring_dedup import dedup_substrings, without_repeats
-from terrane.llm.suffix_dedup import IndexFamily, Level, dedup_bytes
+from terrane.llm.suffix_dedup import IndexFamily, dedup_bytes
 from terrane.llm.topk_search import exact_topk
 from terrane.llm.url_reputation import Rule, judge_urls, prior_strength
 from terrane.llm.warc import chunked, round_trip as warc_round_trip, unchunked
