@@ -16,8 +16,8 @@ __all__ = ["Scratch", "Words", "cut", "shared_dir", "table"]
 
 #: Bytes of text that one numpy pass takes; a longer text is a pass of its own.
 SLICE_BYTES = 4 << 20
-#: Rows of an Arrow batch at most.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch at most (one row may be longer).
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,14 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df, after bounding the rows of Arrow batches in its session: texts are long, and a batch is held on both sides.
+    """df, after bounding the rows and bytes of Arrow batches in its session: texts are long, and a batch is held on both sides.
 
-    The setting is read when the plan runs, so it can't be set back before; it only changes how batches are cut.
+    The settings are read when the plan runs, so they can't be set back before; they only change how batches are cut.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = int(str(df.sparkSession.conf.get(f"spark.sql.execution.arrow.{name}")).rstrip("bB"))
+        if now <= 0 or now > most:
+            df.sparkSession.conf.set(f"spark.sql.execution.arrow.{name}", str(most))
     return df
 
 

@@ -2,15 +2,18 @@
 
 Writing: each page becomes a response record (an HTTP head and the payload in chunked framing) or, where its payload
 equals that of a page with a larger id, a revisit record that keeps the head and names that page. A block longer than
-the segment size is cut into a first record and continuation records. Archives are gzip members, one a record, in files
-of bounded size in the shared folder; a task's files count only if the task ended, since only then its manifest rows do.
+the segment size is cut into a first record and continuation records, which go to files of their own. Archives are gzip
+members, one a record, in files of bounded size in the shared folder; a task's files count only if the task ended, since
+only then its manifest rows do.
 
-Reading: files are parsed in parallel. Records in one piece are decoded where they are read; segments are grouped by the
-origin's record id, ordered by segment number, checked against the total length, joined, and their chunks decoded.
+Reading: each file is parsed once. Records in one piece are decoded where they are read; segments are dealt out by the
+origin's record id and sorted by segment number, and pass through as a stream: one record's segments are held at a
+time, checked against the total length, joined, and their chunks decoded.
 
 Defined results: a null html is an empty payload; a null page_id is kept, is never the largest and is not referred to;
 rows that share page_id and payload with the response are responses too. A record whose segments are missing, repeated
-or of another total length, or whose framing is broken, has intact = false and a null payload. No pages, no archives.
+or of another total length, or whose framing is broken, has intact = false and a null payload. Segments of one origin
+that lost their first record give a row with a null page_id. No pages, no archives.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import cut, shared_dir
+from terrane.llm.common import Scratch, cut, small_batches
 
 #: Bytes of a block that is not cut, of a chunk of a body, and of a finished archive file before compression.
 SEGMENT_BYTES, CHUNK_BYTES, FILE_BYTES = 16_384, 4_096, 64 << 20
 #: Payloads from this size on are replaced by revisits.
 REVISIT_BYTES = 0
 DATE, VERSION = "2024-01-01T00:00:00Z", b"WARC/1.1\r\n"
-_MANIFEST = "path string, n_records long, n_bytes long"
+_MANIFEST = "path string, n_records long, n_bytes long, n_segments long"
 _RECORD = "page_id long, url string, record_type string, refers_to long, payload binary, payload_bytes long, payload_digest string, intact boolean"
 _SEGMENT = "origin string, page_id long, url string, digest string, segment int, total long, block binary"
 
@@ -114,30 +117,36 @@ def write_archives(pages: DataFrame, folder: str, segment_bytes: int = SEGMENT_B
     rows = pages.join(first, "sha1", "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("response"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, files, done, serial = TaskContext.get(), None, [], 0
-        out, path, n, size = None, "", 0, 0
+        task, serial, done = TaskContext.get().partitionId(), 0, []
+        files, base = fs.FileSystem.from_uri(folder)
+        files.create_dir(base, recursive=True)
+        open_files: dict[bool, list] = {}  # by whether it holds segments: path, stream, records, bytes
+
+        def close(cut_up: bool) -> None:
+            path, out, n, size = open_files.pop(cut_up)
+            out.close()
+            done.append((path, n, size, n if cut_up else 0))
+
         for batch in batches:
             for page_id, url, body, response in zip(*(batch.column(i) for i in range(4)), strict=True):
-                if out is None:
-                    files, base = fs.FileSystem.from_uri(folder)
-                    files.create_dir(base, recursive=True)
-                    name = f"part-{task.partitionId():06d}-{uuid.uuid4().hex}.warc.gz"
-                    path, out, n, size = f"{folder}/{name}", files.open_output_stream(f"{base}/{name}", compression=None), 0, 0
                 serial += 1
-                for record in page_records(f"{task.partitionId()}.{serial}", page_id.as_py(), url.as_py(), body.as_py(), response.as_py(), segment_bytes):
-                    out.write(_member(record))
-                    n, size = n + 1, size + len(record)
-                if size >= file_bytes:
-                    out.close()
-                    done.append((path, n, size))
-                    out = None
-        if out is not None:
-            out.close()
-            done.append((path, n, size))
+                records = list(page_records(f"{task}.{serial}", page_id.as_py(), url.as_py(), body.as_py(), response.as_py(), segment_bytes))
+                cut_up = len(records) > 1
+                if cut_up not in open_files:
+                    name = f"{'segments' if cut_up else 'part'}-{task:06d}-{uuid.uuid4().hex}.warc.gz"
+                    open_files[cut_up] = [f"{folder}/{name}", files.open_output_stream(f"{base}/{name}", compression=None), 0, 0]
+                own = open_files[cut_up]
+                for record in records:
+                    own[1].write(_member(record))
+                    own[2], own[3] = own[2] + 1, own[3] + len(record)
+                if own[3] >= file_bytes:
+                    close(cut_up)
+        for cut_up in list(open_files):
+            close(cut_up)
         if done:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "n_records", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["path", "n_records", "n_bytes", "n_segments"])
 
-    return cut(rows.mapInArrow(write, _MANIFEST))
+    return cut(small_batches(rows).mapInArrow(write, _MANIFEST))
 
 
 def parse(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -213,35 +222,54 @@ def _read(segments: bool):
 
 
 def _join_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records from segments in order of origin and number; a record's segments may lie in several batches."""
+    rows, size = [], 0
+    origin, head, blocks, whole, last = None, None, [], True, None
+
+    def ended() -> tuple:
+        block = b"".join(blocks)
+        return response_row(*head, block if whole and last == len(block) else None)
+
     for batch in batches:
-        rows, size = [], 0
         for x in batch.to_pylist():
-            parts = sorted(x["parts"], key=lambda p: p["segment"])
-            block = b"".join(p["block"] for p in parts)
-            whole = [p["segment"] for p in parts] == list(range(1, len(parts) + 1)) and parts[-1]["total"] == len(block)
-            rows.append(response_row(x["page_id"], x["url"], x["digest"] or "", block if whole else None))
-            size += len(block)
+            if x["origin"] != origin:
+                if origin is not None:
+                    rows.append(ended())
+                    size += sum(map(len, blocks))
+                origin, head, blocks, whole, last = x["origin"], (None, None, ""), [], True, None
+            if x["segment"] == 1 and not blocks:
+                head = (x["page_id"], x["url"], x["digest"] or "")
+            # the total length stands in the last segment; nothing comes after it
+            whole = whole and x["segment"] == len(blocks) + 1 and last is None
+            if whole:
+                blocks.append(x["block"])
+                last = x["total"]
+            else:
+                blocks = blocks[:1]
             if size > 4 << 20:
                 yield _batches(rows, _RECORD_ARROW)
                 rows, size = [], 0
-        if rows:
-            yield _batches(rows, _RECORD_ARROW)
+    if origin is not None:
+        rows.append(ended())
+    if rows:
+        yield _batches(rows, _RECORD_ARROW)
 
 
 def read_archives(manifest: DataFrame, tasks: int | None = None) -> DataFrame:
     """The pages of the archives listed by path: page_id, url, record_type, refers_to, payload, its length and digest, intact.
 
-    Only segments are shuffled, by the origin's record id, so that a group is one record. A revisit has no payload; its
-    length and digest are those of the page it refers to.
+    manifest: path and, if known, n_records and n_segments (records that are parts of one); a file of which they say
+    that it has records of one kind only is read once. Only segments are shuffled, by the origin's record id. A revisit
+    has no payload; its length and digest are those of the page it refers to.
     """
-    paths = manifest.select("path").repartition(tasks or max(2, 2 * manifest.sparkSession.sparkContext.defaultParallelism))
-    whole = paths.mapInArrow(_read(False), _RECORD)
-    parts = paths.mapInArrow(_read(True), _SEGMENT)
-    joined = parts.groupBy("origin").agg(F.max("page_id").alias("page_id"), F.max("url").alias("url"), F.max("digest").alias("digest"), F.collect_list(F.struct("segment", "total", "block")).alias("parts"))
-    return whole.unionByName(joined.select("page_id", "url", "digest", "parts").mapInArrow(_join_segments, _RECORD))
+    tasks = tasks or max(2, 2 * manifest.sparkSession.sparkContext.defaultParallelism)
+    known = {"n_records", "n_segments"} <= set(manifest.columns)
+    one, cut_up = (manifest.where("n_records > n_segments"), manifest.where("n_segments > 0")) if known else (manifest, manifest)
+    whole = one.select("path").repartition(tasks).mapInArrow(_read(False), _RECORD)
+    parts = cut_up.select("path").repartition(tasks).mapInArrow(_read(True), _SEGMENT)
+    return whole.unionByName(small_batches(parts.repartition("origin").sortWithinPartitions("origin", "segment")).mapInArrow(_join_segments, _RECORD))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Write pages to archives in a new folder of the shared one (or in folder) and read them back."""
-    folder = folder or f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, folder, **options))
+    """Write pages to archives in folder, or in one of the shared folder that goes with the application, and read them back."""
+    return read_archives(write_archives(pages, folder or Scratch(pages.sparkSession, "warc").at, **options))

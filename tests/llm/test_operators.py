@@ -17,7 +17,7 @@ from terrane.llm.substring_dedup import dedup_substrings, without_repeats
 from terrane.llm.suffix_dedup import IndexFamily, dedup_bytes
 from terrane.llm.topk_search import exact_topk
 from terrane.llm.url_reputation import Rule, judge_urls, prior_strength
-from terrane.llm.warc import chunked, round_trip as warc_round_trip, unchunked
+from terrane.llm.warc import chunked, page_records, read_archives, round_trip as warc_round_trip, unchunked
 
 np = pytest.importorskip("numpy")
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -246,6 +246,29 @@ def test_warc(spark):
     assert unchunked(chunked(b"x" * 9000)) == b"x" * 9000 and unchunked(b"5\r\nab") is None and unchunked(b"zz\r\n") is None
 
 
+def test_broken_segments(spark, tmp_path):
+    """A record with a missing, repeated or misplaced segment, a wrong total length or broken chunks is not intact."""
+    import gzip
+
+    rng = random.Random(3)
+    bodies = {i: bytes(rng.choice(b"ab<\n") for _ in range(9000)) for i in range(1, 9)}
+    records = {i: list(page_records(f"0.{i}", i, "u", b, None, 2048)) for i, b in bodies.items()}
+    assert all(len(r) == 5 for r in records.values())
+    del records[2][2]
+    records[3].insert(1, records[3][1])
+    total = [line for line in records[4][-1].split(b"\r\n") if line.startswith(b"WARC-Segment-Total-Length")][0]
+    records[4][-1] = records[4][-1].replace(total, b"WARC-Segment-Total-Length: 7")
+    records[5].pop()
+    records[6] = [r.replace(b"\r\n1000\r\n", b"\r\n0fff\r\n") for r in records[6]]
+    records[7].reverse()  # order in the file doesn't matter
+    del records[8][0]
+    path = tmp_path / "a.warc.gz"
+    path.write_bytes(b"".join(gzip.compress(r) for rs in records.values() for r in rs))
+    got = read_archives(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    assert {r.page_id: r.intact for r in got} == {1: True, 2: False, 3: False, 4: False, 5: False, 6: False, 7: True, None: False}
+    assert {r.page_id: bytes(r.payload) for r in got if r.intact} == {i: bodies[i] for i in (1, 7)} and all(r.payload is None for r in got if not r.intact)
+
+
 def test_urls(spark):
     rules = [Rule("allow", "com", "/"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/")]
     urls = [(1, "http://A.Example.COM/en/x?y#z"), (2, "https://www.example.com/en/"), (3, "http://example.com"), (4, "nothing"), (5, None), (6, "http://notexample.com/en/"), (7, "http://x.org?q=/en/"), (8, "://É.org/a"), (9, "http://bad.org/1")]
