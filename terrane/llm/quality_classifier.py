@@ -6,7 +6,12 @@ and how much the text repeats itself. The weights are fitted on at most FIT_ROWS
 the least hash), whose packed features come to the driver; all documents are then scored where they are read.
 
 Defined results: null and empty texts have no words and the score of the intercept; rows are neither merged nor
-dropped; labels that are null don't train; without labels of two grades every document has the highest grade.
+dropped; labels that are null don't train; without labels of two grades every document has the highest grade. Of
+documents that share a labelled id the least text trains.
+
+In the query a document that is good but toxic has the middle grade: it is well written, so the words that make a text
+poor should not be learnt from it, yet a clean one is worth more. Selection is by the tail probability of grade 1, the
+expected grade ranks what is selected.
 """
 
 from __future__ import annotations
@@ -125,10 +130,10 @@ def fit_ordinal(indptr: np.ndarray, slot: np.ndarray, value: np.ndarray, grade:
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     """doc_id, text and the label columns of at most `rows` labels: those whose ids have the least hash.
 
-    The ids are few by that bound, so they are sent to the scan of docs.
+    The ids are few by that bound, so they are sent to the scan of docs. Of rows that share an id the least text counts.
     """
-    some = labels.orderBy(F.xxhash64("doc_id"), *[c for c in labels.columns]).limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    some = labels.orderBy(F.xxhash64("doc_id"), *labels.columns).limit(rows).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy(*labels.columns).agg(F.min("text").alias("text")).select("doc_id", "text", *[c for c in labels.columns if c != "doc_id"])
 
 
 def fit_quality(docs: DataFrame, ratings: DataFrame, rows: int = FIT_ROWS) -> Ordinal | None:

@@ -76,4 +76,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ALL = (op1_topk_search, op2_toxicity, op3_sentencepiece, op4_warc, op5_url_filter, op6_substring_dedup, op7_suffix_dedup, op8_decontamination, op9_quality_classifier, op10_jaccard_join)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLE = {"op1_topk_search": sql.TOPK, "op4_warc": sql.ARCHIVES, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS, "op8_decontamination": sql.CONTAMINATION, "op10_jaccard_join": sql.NEAR_DUPLICATES}
+ORACLE = {"op1_topk_search": sql.TOPK, "op4_warc": sql.ARCHIVES, "op5_url_filter": sql.URLS, "op6_substring_dedup": sql.SUBSTRINGS, "op7_suffix_dedup": sql.BYTES, "op8_decontamination": sql.CONTAMINATION, "op10_jaccard_join": sql.NEAR_DUPLICATES}

@@ -1,5 +1,7 @@
 """DuckDB SQL for the results of the queries."""
 
+from terrane.llm.url_reputation import ADDRESS, TWO_LABELS
+
 TOPK = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vector
@@ -19,7 +21,6 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TWO = "'ac.uk','co.jp','co.nz','co.uk','com.au','com.br','com.cn','gov.uk','ne.jp','net.au','or.jp','org.au','org.uk'"
 _STRENGTH = """SELECT 1 / least(0.9, greatest(0.001, CASE WHEN n > 0 AND k > 0 AND k < n AND n - q / n - (g - 1) > 0
     THEN ((r - k * k / n) / (k / n * (1 - k / n)) - (g - 1)) / (n - q / n - (g - 1)) ELSE 0 END)) - 1 AS m, n, k
   FROM (SELECT CAST(count(*) FILTER (n > 0) AS DOUBLE) AS g, CAST(sum(n) AS DOUBLE) AS n, CAST(sum(k) AS DOUBLE) AS k,
@@ -35,12 +36,14 @@ WITH p AS (
   FROM labels WHERE (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY 1
 ), h AS (
   SELECT host, coalesce(sum(n), 0) AS n, coalesce(sum(k), 0) AS k FROM u LEFT JOIN o USING (page_id) GROUP BY 1
+), h1 AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS name FROM h
 ), h2 AS (
-  SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS two,
-         array_to_string(string_split(host, '.')[-3:], '.') AS three, string_split(host, '.')[-1] AS one FROM h
+  SELECT *, regexp_matches(name, '{ADDRESS}') AS address, array_to_string(string_split(name, '.')[-2:], '.') AS two,
+         array_to_string(string_split(name, '.')[-3:], '.') AS three, string_split(name, '.')[-1] AS one FROM h1
 ), h3 AS (
-  SELECT host, n, k, CASE WHEN two IN ({_TWO}) THEN two ELSE one END AS suffix,
-         CASE WHEN two IN ({_TWO}) THEN three ELSE two END AS domain FROM h2
+  SELECT host, n, k, CASE WHEN address THEN name WHEN regexp_matches(two, '{TWO_LABELS}') THEN two ELSE one END AS suffix,
+         CASE WHEN address THEN name WHEN regexp_matches(two, '{TWO_LABELS}') THEN three ELSE two END AS domain FROM h2
 ), d AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM h3 GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM d GROUP BY 1),
 ms AS ({_STRENGTH.format("s")}), md AS ({_STRENGTH.format("d")}), mh AS ({_STRENGTH.format("h3")}),
@@ -82,6 +85,30 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0)
 FROM w LEFT JOIN k USING (doc_id)
 """
 
+BYTES = """
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents
+), g AS (
+  SELECT doc_id, i, t[i:i + 49] AS k FROM d, unnest(range(1, octet_length(t) - 48)) AS u(i)
+), f AS (
+  SELECT k, min(doc_id) AS least FROM g GROUP BY k HAVING min(doc_id) < max(doc_id)
+), r AS (
+  SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g JOIN f USING (k) WHERE least < doc_id
+), s AS (
+  SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM r
+), u AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM s GROUP BY doc_id, run
+), v AS (
+  SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 1) AS gap FROM u
+), k AS (
+  SELECT doc_id, string_agg(hex(t[gap:a - 1]), '' ORDER BY run) AS kept, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last
+  FROM v JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, '') || hex(t[coalesce(last, 1):octet_length(t)]))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 CONTAMINATION = rf"""
 WITH b AS (
   SELECT CAST(item_id AS VARCHAR) AS item,

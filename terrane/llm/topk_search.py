@@ -65,7 +65,12 @@ def _products(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, x: np.nda
     bound = float(np.abs(queries).max(initial=0)) * float(np.abs(vectors).max(initial=0)) * max(1, vectors.shape[1])
     if bound < 2**52 and len(q) * 8 > len(queries) * len(vectors):
         return (queries.astype(np.float64) @ vectors.astype(np.float64).T)[q, x].astype(np.int64)
-    return np.einsum("ij,ij->i", queries[q], vectors[x])
+    if bound < 2**62:
+        return np.einsum("ij,ij->i", queries[q], vectors[x])
+    whole = (queries[q].astype(object) * vectors[x].astype(object)).sum(axis=1)
+    if any(abs(v) >= 1 << 63 for v in whole):
+        raise OverflowError("an inner product is beyond 64 bits")
+    return whole.astype(np.int64)
 
 
 def _scan(ids: np.ndarray, queries: np.ndarray, k: int):

@@ -3,7 +3,12 @@
 Labelled page outcomes are counted by host, registered domain and public suffix. Each level has a beta prior whose mean
 is the posterior mean of the level above and whose strength comes from the spread between that level's groups (method
 of moments for the beta-binomial). A host is blocked where the lower posterior bound of its rate of bad pages is over
-the threshold. Everything is built-in SQL functions; the driver sees fifteen sums.
+the threshold; the bound is the posterior mean less Z posterior deviations, which stands for the beta quantile that SQL
+lacks. Counts by host are written down once; pages are read for them and for the verdicts. Everything is built-in SQL
+functions; the driver sees fifteen sums.
+
+For the grouping alone a host goes without user info, port and trailing dots, and numeric and bracketed addresses have
+no domain or suffix above them but themselves.
 
 Defined results: a url that is null or has no "://" has an empty host and path; the empty host is a group like any
 other. Hosts without labels get their domain's, suffix's or the overall rate. Rows are neither merged nor dropped;
@@ -17,9 +22,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terrane.llm.common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Public suffixes of two labels that registries commonly use.
-TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "ne.jp", "net.au", "or.jp", "org.au", "org.uk")
+#: Suffixes of two labels: a registry's usual second level below a country's two letters; else the last label.
+SECOND_LEVEL = "ac|co|com|edu|go|gob|gov|gv|mil|ne|net|nom|or|org|sch"
+TWO_LABELS, ADDRESS = rf"^({SECOND_LEVEL})\.[a-z][a-z]$", r"^([0-9]+(\.[0-9]+)*|\[.*)$"
 #: The outcome of a host is block where mean - Z * deviation of the bad rate is over THRESHOLD.
 THRESHOLD, Z = 0.4, 1.0
 
@@ -45,14 +53,19 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def named(host: Column) -> Column:
+    """The host without user info, port and trailing dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+
+
+def suffix_of(name: Column) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.rlike(TWO_LABELS), two).otherwise(F.substring_index(name, ".", -1))
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def domain_of(name: Column) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.rlike(TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def matching_rule(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
@@ -82,7 +95,8 @@ def prior_strength(groups: float, trials: float, bad: float, squares: float, rat
 
 def host_reputation(hosts: DataFrame, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """hosts (host, n_labelled, n_bad) with bad_rate, bad_bound and blocked."""
-    hosts = hosts.select("host", suffix_of(F.col("host")).alias("suffix"), domain_of(F.col("host")).alias("domain"), "n_labelled", "n_bad")
+    hosts = hosts.withColumn("name", named(F.col("host")))
+    hosts = cut(hosts.select("host", suffix_of(F.col("name")).alias("suffix"), domain_of(F.col("name")).alias("domain"), "n_labelled", "n_bad"))
     total = lambda df, *by: df.groupBy(*by).agg(F.sum("n_labelled").alias("n_labelled"), F.sum("n_bad").alias("n_bad"))
     domains = total(hosts, "suffix", "domain")
     suffixes = total(domains, "suffix")
