@@ -79,7 +79,8 @@ def angle(p: Column, at: Column, q: Column) -> Column:
 
 
 def destination(p: Column, metres, bearing) -> Column:
-    """Where a great circle leads. Bearings of 90 and 270 keep the latitude; from a pole the bearing is the longitude."""
+    """Where a great circle leads; a distance of 0 or less leads nowhere. Bearings of 90 and 270 keep the latitude; from a pole the bearing is the longitude."""
+    here = F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"))
     s, turn = _c(metres) / RADIUS, _c(bearing)
     a, b = F.radians(p["lat"]), F.radians(turn)
     east = (F.abs(turn - 90) <= EPSILON) | (F.abs(turn - 270) <= EPSILON)
@@ -93,7 +94,7 @@ def destination(p: Column, metres, bearing) -> Column:
     def tidy(e: Column) -> Column:
         return F.struct(norm_latitude(e["lat"]).alias("lat"), F.when(F.abs(F.abs(e["lat"]) - 90) <= 1e-9, 0.0).otherwise(norm_longitude(e["lon"])).alias("lon"))
 
-    return bind(bind(F.when(east, a).otherwise(to), end), tidy)
+    return F.when(_c(metres) <= 0, here).otherwise(bind(bind(F.when(east, a).otherwise(to), end), tidy))
 
 
 def cross_track(a: Column, b: Column, p: Column) -> Column:

@@ -36,8 +36,9 @@ def stored_order(table: TableDef, forward: bool = True) -> list[Column]:
 
 
 def find_with_key(table: TableDef, df: DataFrame, *values) -> DataFrame:
-    """The row of a full key."""
-    return df.where(key_equal(table, *values)).limit(1)
+    """The row of a full key; of several, the least by all columns that have an order."""
+    ordered = [c for c, kind in df.dtypes if not kind.startswith("map") and "map<" not in kind]
+    return df.where(key_equal(table, *values)).orderBy(*ordered).limit(1)
 
 
 def lower_bound(table: TableDef, df: DataFrame, first) -> DataFrame:

@@ -93,22 +93,25 @@ def assign_steps(steps: list[tuple[float, object]], start, begin: float, end: fl
 
 
 def step_lookup(df: DataFrame, key: str, steps: DataFrame, at: str, value: str, block: float) -> DataFrame:
-    """As step_value with a table of breakpoints: keys and breakpoints meet in blocks of the given width.
+    """As step_value with a table of breakpoints: keys and breakpoints are merged in blocks of the given width.
 
-    Each block also gets the last breakpoint before it, so a key never looks beyond its block.
+    A block is sorted as a stream (it may spill), keys take the last breakpoint before them, or what the blocks before
+    end with. Nothing is collected, and no key meets more than one breakpoint.
     """
     b = lambda c: F.floor(F.col(c) / block)
-    own = steps.select(F.col(at).alias("_at"), F.col(value).alias(value), b(at).alias("_block"))
-    blocks = df.where(F.col(key).isNotNull()).select(b(key).alias("_block")).distinct().select("_block", F.lit(None).cast(dict(own.dtypes)["_at"]).alias("_at"), F.lit(None).cast(dict(own.dtypes)[value]).alias(value), F.lit(True).alias("_asks"))
-    latest = own.groupBy("_block").agg(F.max_by(F.struct("_at", value), "_at").alias("_last"))
-    before = blocks.join(latest, "_block", "full").select("_block", "_asks", "_last").withColumn("_carry", F.last("_last", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)))
-    carried = before.where("_asks").select("_block", F.col("_carry")[value].alias("_before"))
-    lists = own.groupBy("_block").agg(F.array_sort(F.collect_list(F.struct("_at", value))).alias("_steps"))
-    rows = df.withColumn("_block", b(key)).join(carried, "_block", "left").join(lists, "_block", "left")
-    inside = F.element_at(F.filter("_steps", lambda s: s["_at"] <= F.col(key)), -1)
-    has = F.exists("_steps", lambda s: s["_at"] <= F.col(key))
-    return rows.withColumn(value, F.when(F.coalesce(has, F.lit(False)), inside[value]).otherwise(F.col("_before"))).drop("_block", "_before", "_steps")
-
+    marked = lambda rows, c, row, step: rows.select(b(c).alias("_block"), F.col(c).cast("double").alias("_at"), row.alias("_row"), step.alias("_step"))
+    kind = df.select(F.struct(*df.columns).alias("_row")).schema["_row"].dataType
+    step = F.struct(F.col(value).alias("_value"))
+    step_kind = steps.select(step.alias("_step")).schema["_step"].dataType
+    both = marked(df, key, F.struct(*df.columns), F.lit(None).cast(step_kind)).unionByName(marked(steps.where(F.col(at).isNotNull()), at, F.lit(None).cast(kind), step))
+    inside = Window.partitionBy("_block").orderBy("_at", F.col("_row").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    # one row for each block of breakpoints: where it ends, and the next block that has some
+    ends = steps.where(F.col(at).isNotNull()).groupBy(b(at).alias("_block")).agg(F.max_by(step, at).alias("_end"))
+    carried = ends.unionByName(df.where(F.col(key).isNotNull()).select(b(key).alias("_block")).distinct().withColumn("_end", F.lit(None).cast(step_kind))).groupBy("_block").agg(F.first("_end", ignorenulls=True).alias("_end"))
+    carried = carried.select("_block", F.last("_end", ignorenulls=True).over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    found = both.withColumn("_own", F.last("_step", ignorenulls=True).over(inside)).where(F.col("_row").isNotNull()).join(carried, "_block", "left")
+    chosen = F.when(F.col("_at").isNotNull(), F.coalesce("_own", "_before")["_value"])
+    return found.select("_row.*", chosen.alias(value))
 
 def sorted_unique(c: Column) -> Column:
     """A sorted array without repeats."""

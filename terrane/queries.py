@@ -61,7 +61,7 @@ _simple("less_eq", "lineitem", LessEq("l_quantity", 2.0), "l_quantity <= 2", "l_
 _simple("greater_eq", "lineitem", GreaterEq("l_quantity", 49.0), "l_quantity >= 49", "l_orderkey", "l_linenumber", "l_quantity")
 _simple("between", "lineitem", Between("l_orderkey", 100, 300), "l_orderkey BETWEEN 100 AND 300", "l_orderkey", "l_linenumber")
 _simple("float_eq_eps", "lineitem", Where("l_discount", 0.05), "l_discount BETWEEN CAST(0.05 AS DOUBLE) - CAST(1e-12 AS DOUBLE) AND CAST(0.05 AS DOUBLE) + CAST(1e-12 AS DOUBLE)", "l_orderkey", "l_linenumber", "l_discount")
-_simple("where_text_range", "nation", Between("n_name", "B", "M"), "n_name BETWEEN 'B' AND 'M'", "n_nationkey", "n_name")
+_simple("where_text_range", "nation", Between("n_name", "NATION_1", "NATION_2"), "n_name BETWEEN 'NATION_1' AND 'NATION_2'", "n_nationkey", "n_name")
 
 _HOLED = "SELECT s_suppkey, s_nationkey, CASE WHEN s_acctbal < 1000 THEN NULL ELSE s_acctbal END AS bal FROM supplier"
 
@@ -335,7 +335,21 @@ def geo_as_text_all(c: Catalog):
     return _located(c).select("event_id", shapes.as_text(shapes.point_shape(F.col("lat"), F.col("lon"))).alias("wkt"))
 
 
-@query()
+#: The same cells in SQL: octahedron face, plane, unit square, then the curve's place of each of the four digits.
+_CELLS = f"""SELECT event_id, p[(x >> 12) * 16 + (y >> 12) + 1] * 16777216 + p[((x >> 8) & 15) * 16 + ((y >> 8) & 15) + 1] * 65536
+    + p[((x >> 4) & 15) * 16 + ((y >> 4) & 15) + 1] * 256 + p[(x & 15) * 16 + (y & 15) + 1] AS cell
+  FROM (SELECT event_id, {[int(p) for p in cells.PLACES.reshape(-1)]}::BIGINT[] AS p, CAST(least(65535, greatest(0, floor(u * 65536))) AS BIGINT) AS x, CAST(least(65535, greatest(0, floor(v * 65536))) AS BIGINT) AS y
+  FROM (SELECT event_id, CASE q WHEN 0 THEN 1 - b WHEN 1 THEN 1 - a WHEN 2 THEN b ELSE a END AS u,
+    CASE q WHEN 0 THEN 0.5 + n * a WHEN 1 THEN CASE n WHEN 1 THEN 1 - b ELSE b END WHEN 2 THEN CASE n WHEN 1 THEN 1 - a ELSE a END ELSE 0.5 + n * b END AS v
+  FROM (SELECT event_id, q, n, (y / (x + y + z) - x / (x + y + z) + 1) / sqrt(2.0) * (CASE WHEN q % 2 = 1 THEN 1.0 ELSE 0.5 END / sqrt(2.0)) AS a,
+    (z / (x + y + z) - (x / (x + y + z) - 1) / 2 - y / (x + y + z) / 2) / sqrt(1.5) * (CASE WHEN q % 2 = 1 THEN 0.25 ELSE 0.5 END / sqrt(1.5)) AS b
+  FROM (SELECT event_id, q, n, cos(up) * cos(m) AS x, cos(up) * sin(m) AS y, sin(up) AS z
+  FROM (SELECT event_id, q, CASE WHEN lat >= 0 THEN 1 ELSE -1 END AS n, radians(abs(lat)) AS up,
+    radians(CASE q WHEN 0 THEN lon + 45 WHEN 1 THEN lon - 45 WHEN 3 THEN lon + 135 ELSE CASE WHEN lon >= 0 THEN lon - 135 ELSE lon + 225 END END) AS m
+  FROM (SELECT event_id, lat, lon, CASE WHEN lon >= -45 AND lon < 45 THEN 0 WHEN lon >= 45 AND lon < 135 THEN 1 WHEN lon >= -135 AND lon < -45 THEN 3 ELSE 2 END AS q FROM ({_E})))))))"""
+
+
+@query(_CELLS)
 def cell_id(c: Catalog):
     return _located(c).select("event_id", cells.make_cell(F.col("lat"), F.col("lon")).alias("cell"))
 
@@ -358,7 +372,7 @@ def index_lookup(c: Catalog):
     return near.where(geodesy.haversine(_here(), geodesy.point(_LAT0, _LON0)) <= 500_000).select("event_id")
 
 
-@query()
+@query(f"SELECT min(cell) AS min_cell, max(cell) AS max_cell FROM ({_CELLS})")
 def index_extent(c: Catalog):
     return spatial.min_max_cell(spatial.index_points(_located(c), "event_id", F.col("lat"), F.col("lon")))
 
@@ -497,7 +511,7 @@ def column_nulls(c: Catalog):
     return null_counts(_holed(c).source)
 
 
-@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS VARCHAR) || ',' || n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
+@query("SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS VARCHAR) || ',' || n_nationkey || ',' || n_name || ',' || n_regionkey AS line FROM nation")
 def dump_lines(c: Catalog):
     return dump(c.table("nation"), order=["n_nationkey"])
 
@@ -516,9 +530,9 @@ def ext_join_group(c: Catalog):
     return rows.groupBy("n_name").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def ext_anti_join(c: Catalog):
-    return c.table("customer").join(c.table("orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return c.table("customer").join(c.table("orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank <= 3")
@@ -542,6 +556,10 @@ def ext_window_counts(c: Catalog):
     return windowed(c.table("events")).withColumn("total", F.round("total", 3))
 
 
-@query()
+@query(
+    """WITH a AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events),
+    s AS (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts >= before + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM a)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM s GROUP BY user_id, g"""
+)
 def ext_sessions(c: Catalog):
     return sessions(c.table("events"))

@@ -21,7 +21,7 @@ _FROM_SPARK = {"int": "int", "bigint": "bigint", "smallint": "smallint", "tinyin
 OBJECT_KINDS = {
     "AF": "AGGREGATE_FUNCTION", "C": "CHECK_CONSTRAINT", "D": "DEFAULT_CONSTRAINT", "F": "FOREIGN_KEY_CONSTRAINT", "FN": "SQL_SCALAR_FUNCTION", "FS": "CLR_SCALAR_FUNCTION", "FT": "CLR_TABLE_VALUED_FUNCTION",
     "IF": "SQL_INLINE_TABLE_VALUED_FUNCTION", "IT": "INTERNAL_TABLE", "P": "SQL_STORED_PROCEDURE", "PC": "CLR_STORED_PROCEDURE", "PG": "PLAN_GUIDE", "PK": "PRIMARY_KEY_CONSTRAINT", "R": "RULE", "RF": "REPLICATION_FILTER_PROCEDURE",
-    "S": "SYSTEM_TABLE", "SN": "SYNONYM", "SO": "SEQUENCE_OBJECT", "SQ": "SERVICE_QUEUE", "TA": "CLR_TRIGGER", "TF": "SQL_TABLE_VALUED_FUNCTION", "TR": "SQL_TRIGGER", "TT": "TABLE_TYPE", "U": "USER_TABLE", "UQ": "UNIQUE_CONSTRAINT", "V": "VIEW", "X": "EXTENDED_STORED_PROCEDURE",
+    "S": "SYSTEM_TABLE", "SN": "SYNONYM", "SQ": "SERVICE_QUEUE", "TA": "CLR_TRIGGER", "TF": "SQL_TABLE_VALUED_FUNCTION", "TR": "SQL_TRIGGER", "TT": "TYPE_TABLE", "U": "USER_TABLE", "UQ": "UNIQUE_CONSTRAINT", "V": "VIEW", "X": "EXTENDED_STORED_PROCEDURE",
 }
 INDEX_KINDS = {0: "HEAP", 1: "CLUSTERED", 2: "NONCLUSTERED", 3: "XML", 4: "SPATIAL"}
 

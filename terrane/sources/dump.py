@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrane.functions.text import trim_spaces
+from terrane.runtime import cut
 from terrane.schema import ColumnDef, KeyPart, TableDef
 
 #: Cells that a spatial index of an export gives each object.
@@ -13,9 +14,10 @@ CELLS_PER_OBJECT = 8192
 
 
 def dump(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ...] = (), records: int | None = None, trim: bool = False, order: list[str | Column] | None = None) -> DataFrame:
-    """One `line` a row: the row's number and its columns as text, nulls as [NULL].
+    """One `line` a row: the row's number from 1 and its columns as text, nulls as [NULL].
 
-    Numbers follow `order` (all rows then pass one window; give records to bound it) or, without it, the input.
+    Numbers follow `order` or, without it, the input. The rows are written down once in that order; what is counted
+    then is the rows of each partition, so numbers need no pass through one task.
     """
     named = [c for c in columns or df.columns if c not in exclude]
     if missing := set(named) - set(df.columns):
@@ -26,8 +28,20 @@ def dump(df: DataFrame, columns: list[str] | None = None, exclude: tuple[str, ..
         df = df.limit(records)
     text = lambda c: trim_spaces(F.col(c).cast("string")) if trim and dict(df.dtypes)[c] == "string" else F.col(c).cast("string")
     cells = [F.coalesce(text(c), F.lit("[NULL]")) for c in named]
-    numbered = df.select(F.monotonically_increasing_id().alias("_i"), *cells) if not order else df.coalesce(1).select(F.monotonically_increasing_id().alias("_i"), *cells)
-    return numbered.select(F.concat_ws(",", *[F.col(f"`{c}`") for c in numbered.columns]).alias("line"))
+    numbered = cut(df.select(F.monotonically_increasing_id().alias("_i"), F.concat_ws(",", *cells).alias("_cells")))
+    part, place = F.shiftright("_i", 33), F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted(numbered.groupBy(part.alias("_part")).count().collect())  # a row for each partition
+    starts, total = [], 0
+    for number, n in sizes:
+        starts += [F.lit(number), F.lit(total)]
+        total += n
+    before = F.element_at(F.create_map(*starts), part) if starts else F.lit(0)
+    return numbered.select(F.concat_ws(",", (before + place + 1).cast("string"), "_cells").alias("line"))
+
+
+def dump_head(database: str, table: str, columns: list[str]) -> list[str]:
+    """The lines before a table's rows: database and table, then the columns."""
+    return [f"[{database}].[{table}]", ",".join(["#", *columns])]
 
 
 def write_dump(df: DataFrame, path: str, **options) -> None:

@@ -131,7 +131,7 @@ def test_sources(spark, tmp_path):
 
 def test_dump_and_definitions(df, spark):
     lines = [r.line for r in dump(df.where("Id2 = 1"), ["Id", "Col1", "x"], trim=True, order=["Id"]).collect()]
-    assert lines == ["0,1,a,[NULL]", "1,2,c,0.5000000000001"]
+    assert lines == ["1,1,a,[NULL]", "2,2,c,0.5000000000001"]
     assert load_definition(generate_definition(T), "t") == T
     assert "ORDER BY [Id] ASC, [Id2] DESC" in export_script(T, "a.dbo", "b.dbo") and "[PK 1 DESC]" in T.describe()
     assert null_counts(df).first().asDict() == {"Id": 1, "Id2": 0, "Col1": 1, "x": 1}
