@@ -30,7 +30,8 @@ from terrane.llm.common import Rolling, byte_symbols, ints, mix, run_hashes, sam
 SPACE = "▁"
 #: Exponent of a point of score; seed of the draws; what a character's bytes cost beside the least score.
 SCALE, SEED, BYTES_COST = 5e-4, 17, 10.0
-_SLICE = 1 << 20
+#: Bytes of text that are encoded at once, and rows that are decoded at once.
+_SLICE, _DECODED = 1 << 19, 100
 _CHAR_BYTES = np.ones(256, np.int64)
 _CHAR_BYTES[0xC0:0xE0], _CHAR_BYTES[0xE0:0xF0], _CHAR_BYTES[0xF0:] = 2, 3, 4
 _TOP = 1 - 1e-7
@@ -264,8 +265,8 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = (
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, _DECODED):
+                part = batch.slice(at, _DECODED)
                 own = {n: part.column(i) for i, n in enumerate(part.schema.names)}
                 yield pa.RecordBatch.from_arrays([*(own[c] for c in keep), sent.value.decode(own["ids"])], names=[*keep, "decoded"])
 
