@@ -1,4 +1,4 @@
-"""Covers: sorted ranges of leaf ids that hold a box or a circle, worked out on the driver from literals.
+"""Covers: sorted ranges of leaf ids that hold a box, a circle (from literals, on the driver) or a shape (once a row).
 
 From the coarsest cells down, a cell is bounded by a cap around its centre. A cap apart from the region drops the cell, a
 cap within it takes the cell whole, and the others are cut further while the number of cells allows it. A cover is never
@@ -7,7 +7,11 @@ too small, so the exact test after it gives the exact result.
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from terrane.functions import cells
 from terrane.functions.geodesy import RADIUS
@@ -57,18 +61,47 @@ def merge_ranges(ranges: list[tuple[int, int]], most: int = MOST_RANGES) -> list
     return [(a, b) for a, b in out]
 
 
-def _cover(judge, most_cells: int) -> list[tuple[int, int]]:
-    """judge gives for caps: 0 apart, 1 in part, 2 within."""
-    found, cell = [], np.arange(256, dtype=np.int64) << 24
+def _extent(lat: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far caps reach in latitude and longitude, and whether they hold a pole."""
+    reach = np.degrees(radius)
+    polar = np.abs(lat) + reach >= 90
+    wide = np.where(polar, 180.0, np.degrees(np.arcsin(np.clip(np.sin(radius) / np.maximum(1e-12, np.cos(np.radians(lat))), 0, 1))))
+    return reach, wide, polar
+
+
+@lru_cache(maxsize=1024)
+def _children(parent: int, depth: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The 256 cells of one depth below a parent and their caps."""
+    cell = parent + (np.arange(256, dtype=np.int64) << 8 * (cells.LEVELS - depth))
+    return cell, _caps(cell, depth)
+
+
+def _judged(judge, most_cells: int, least_cells: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of cells within and in part. judge gives for caps: 0 apart, 1 in part, 2 within.
+
+    Cells in part are cut further while they are at most most_cells, those of the first level at most least_cells.
+    """
+    whole, part, parents = [], [], [0]
     for depth in range(1, cells.LEVELS + 1):
-        verdict = judge(*_caps(cell, depth))
-        found += [cells.id_range(int(c), depth) for c in cell[verdict == 2]]
-        cell = cell[verdict == 1]
-        if depth == cells.LEVELS or len(cell) > most_cells:
-            found += [cells.id_range(int(c), depth) for c in cell]
+        below = [_children(int(p), depth) for p in parents]
+        cell, caps = np.concatenate([c for c, _ in below]), [np.concatenate(x) for x in zip(*[k for _, k in below], strict=True)]
+        verdict = judge(*caps)
+        whole += [cells.id_range(int(c), depth) for c in cell[verdict == 2]]
+        parents = cell[verdict == 1]
+        if depth == cells.LEVELS or not 0 < len(parents) <= max(most_cells, least_cells if depth == 1 else 0):
+            part = [cells.id_range(int(c), depth) for c in parents]
             break
-        cell = (cell[:, None] + (np.arange(256, dtype=np.int64) << 8 * (cells.LEVELS - 1 - depth))[None, :]).reshape(-1)
-    return merge_ranges(found)
+    return whole, part
+
+
+def _cover(judge, most_cells: int) -> list[tuple[int, int]]:
+    whole, part = _judged(judge, most_cells)
+    return merge_ranges(whole + part)
+
+
+def in_ranges(cell: Column, ranges: list[tuple[int, int]]) -> Column:
+    """A stored cell column is in one of the ranges: few comparisons that a scan can prune by."""
+    return reduce(lambda a, b: a | b, [cell.between(lo, hi) for lo, hi in ranges], F.lit(False))
 
 
 def cover_circle(lat: float, lon: float, metres: float, most_cells: int = MOST_CELLS) -> list[tuple[int, int]]:
@@ -91,13 +124,74 @@ def cover_box(min_lat: float, min_lon: float, max_lat: float, max_lon: float, mo
     middle, half = (min_lon + max_lon) / 2, (max_lon - min_lon) / 2
 
     def judge(_at, lat, lon, radius):
-        reach = np.degrees(radius)
+        reach, wide, polar = _extent(lat, radius)
         apart = (lat + reach < min_lat) | (lat - reach > max_lat)
-        polar = np.abs(lat) + reach >= 90
-        wide = np.where(polar, 180.0, np.degrees(np.arcsin(np.clip(np.sin(radius) / np.maximum(1e-12, np.cos(np.radians(lat))), 0, 1))))
         away = np.abs((lon - middle + 180) % 360 - 180)
         apart |= away > half + wide
         within = (lat - reach >= min_lat) & (lat + reach <= max_lat) & (away + wide <= half) & ~polar
         return np.where(apart, 0, np.where(within, 2, 1))
 
     return _cover(judge, most_cells)
+
+
+#: Pairs of a cell and an edge that are compared at once.
+_PAIRS = 1 << 20
+
+
+def _edges_met(a: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which boxes (rows of low and high) an edge from a row of a to that of b meets: the parts of the edge within each
+    axis' span must overlap."""
+    met, step = np.zeros(len(low), bool), max(1, _PAIRS // max(1, len(low)))
+    for i in range(0, len(a), step):
+        p, d = a[i : i + step], b[i : i + step] - a[i : i + step]
+        flat = np.abs(d) <= 1e-12
+        safe = np.where(flat, 1.0, d)
+        t, u = (low[:, None, :] - p) / safe, (high[:, None, :] - p) / safe
+        held = (t <= 0) & (u >= 0)
+        start = np.where(flat, np.where(held, 0.0, 2.0), np.minimum(t, u)).max(-1)
+        end = np.where(flat, np.where(held, 1.0, -1.0), np.maximum(t, u)).min(-1)
+        met |= (np.maximum(start, 0.0) <= np.minimum(end, 1.0)).any(1)
+    return met
+
+
+def _odd(a: np.ndarray, b: np.ndarray, lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    """Which points a closed ring holds by the even-odd rule."""
+    odd, step = np.zeros(len(lat), bool), max(1, _PAIRS // max(1, len(lat)))
+    for i in range(0, len(a), step):
+        p, q = a[i : i + step], b[i : i + step]
+        spans = (p[:, 0] > lat[:, None]) != (q[:, 0] > lat[:, None])
+        rise = np.where(q[:, 0] == p[:, 0], 1.0, q[:, 0] - p[:, 0])
+        odd ^= (spans & (lon[:, None] < p[:, 1] + (lat[:, None] - p[:, 0]) * (q[:, 1] - p[:, 1]) / rise)).sum(1) % 2 == 1
+    return odd
+
+
+def cover_shape(rings: list[np.ndarray], roles: list[int], area: bool, most_cells: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Ranges of the cells within an area and of those that a shape has a part of, edges straight in latitude and longitude.
+
+    rings are arrays of (lat, lon). Cells over a pole or the antimeridian and areas with an open ring are never within.
+    """
+    rings = [(np.asarray(r, float), role) for r, role in zip(rings, roles, strict=True) if len(r)]
+    if not rings:
+        return [], []
+    ends = [(r[:-1], r[1:], role) if len(r) > 1 else (r, r, role) for r, role in rings]
+    everything = np.concatenate([r for r, _ in rings])
+    least, most = everything.min(0) - 1e-9, everything.max(0) + 1e-9
+    closed = all(np.array_equal(r[0], r[-1]) for r, _ in rings)
+    if area and not closed:  # the even-odd rule then holds points west of the gap
+        least[1] = -np.inf
+
+    def judge(_at, lat, lon, radius):
+        reach, wide, polar = _extent(lat, radius)
+        low, high = np.stack([lat - reach, lon - wide], 1) - 1e-9, np.stack([lat + reach, lon + wide], 1) + 1e-9
+        around = polar | (low[:, 1] < -180) | (high[:, 1] > 180)
+        apart = (high[:, 0] < least[0]) | (low[:, 0] > most[0]) | (~around & ((high[:, 1] < least[1]) | (low[:, 1] > most[1])))
+        out = np.where(apart, 0, 1)
+        rest = np.flatnonzero(~apart & ~around)
+        if len(rest) and (closed or not area):
+            met = reduce(np.logical_or, [_edges_met(a, b, low[rest], high[rest]) for a, b, _ in ends])
+            held = {role: reduce(np.logical_or, [_odd(a, b, lat[rest], lon[rest]) for a, b, r in ends if r == role], np.zeros(len(rest), bool)) if area else np.zeros(len(rest), bool) for role in (0, 1)}
+            out[rest] = np.where(met, 1, np.where(held[0] & ~held[1], 2, 0))
+        return out
+
+    whole, part = _judged(judge, most_cells, 256)
+    return merge_ranges(whole, len(whole) or 1), merge_ranges(part, len(part) or 1)

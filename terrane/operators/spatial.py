@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections import OrderedDict
-from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +13,12 @@ from pyspark.sql import types as T
 from terrane.functions import shapes
 from terrane.functions.cells import id_range, make_cell
 from terrane.functions.geodesy import bind, haversine, point
-from terrane.operators.cover import cover_box, cover_circle, merge_ranges
+from terrane.operators.cover import cover_box, cover_circle, cover_shape, in_ranges, merge_ranges
 
 #: What a cell is to a shape: touched, partly covered, covered.
 TOUCH, PART, COVER = 0, 1, 2
-#: Prefixes of the join of points with shapes have so many bytes; a shape's cover so many ranges at most.
-PREFIX_BYTES, SHAPE_CELLS = 2, 60
-
-
-def in_ranges(cell: Column, ranges: list[tuple[int, int]]) -> Column:
-    """A stored cell column is in one of the ranges: few comparisons that a scan can prune by."""
-    return reduce(lambda a, b: a | b, [cell.between(lo, hi) for lo, hi in ranges], F.lit(False))
+#: Prefixes of the join of points with shapes have so many bytes; a shape's cells are cut while so many are in part.
+PREFIX_BYTES, SHAPE_CELLS = 2, 16
 
 
 def _near(lat: Column, lon: Column, cell: str | None, ranges: list[tuple[int, int]]) -> Column:
@@ -36,19 +31,35 @@ def index_points(df: DataFrame, key: str, lat: Column, lon: Column) -> DataFrame
     return df.select(make_cell(lat, lon).alias("cell_id"), F.lit(4).cast("byte").alias("depth"), F.col(key).alias("pk0"), F.lit(PART).cast("byte").alias("cell_attr")).sortWithinPartitions("cell_id")
 
 
-_RANGES = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType())]))
+_RANGES = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("attr", T.ByteType())]))
 
 
-def _box_ranges(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
-    pad = 1e-9
-    return pd.Series([None if pd.isna(x[0]) else [{"lo": lo, "hi": hi} for lo, hi in cover_box(x[0] - pad, x[1] - pad, x[2] + pad, x[3] + pad, SHAPE_CELLS)] for x in zip(a, b, c, d, strict=True)])
+def _shape_ranges(kinds: pd.Series, lats: pd.Series, lons: pd.Series, roles: pd.Series) -> pd.Series:
+    def one(kind, lat, lon, role):
+        if kind is None or lat is None:
+            return None
+        whole, part = cover_shape([np.stack([np.asarray(a, float), np.asarray(b, float)], 1) for a, b in zip(lat, lon, strict=True)], list(role), kind in ("Polygon", "MultiPolygon"), SHAPE_CELLS)
+        return [{"lo": lo, "hi": hi, "attr": attr} for ranges, attr in ((whole, COVER), (part, PART)) for lo, hi in ranges]
+
+    return pd.Series([one(*x) for x in zip(kinds, lats, lons, roles, strict=True)], dtype=object)
 
 
 def index_shapes(df: DataFrame, key: str, geography: str) -> DataFrame:
-    """pk0, lo, hi and cell_attr: ranges that hold each shape's envelope. Null shapes have none."""
-    box = shapes.envelope(F.col(geography))
-    ranges = F.pandas_udf(_box_ranges, _RANGES)(box["min_lat"], box["min_lon"], box["max_lat"], box["max_lon"])
-    return df.select(F.col(key).alias("pk0"), F.explode(ranges).alias("r")).select("pk0", "r.lo", "r.hi", F.lit(PART).cast("byte").alias("cell_attr"))
+    """pk0, lo, hi and cell_attr: disjoint ranges of the cells that a shape covers (COVER) or has a part of (PART).
+
+    Null shapes and such without points have none. A point of a covered cell is in the shape without another test.
+    """
+    g = F.col(geography)
+    of = lambda name: F.transform(g["rings"], lambda r: F.transform(r, lambda p: p[name]))
+    ranges = F.pandas_udf(_shape_ranges, _RANGES)(g["kind"], of("lat"), of("lon"), g["roles"])
+    return df.select(F.col(key).alias("pk0"), F.explode(ranges).alias("r")).select("pk0", "r.lo", "r.hi", F.col("r.attr").alias("cell_attr"))
+
+
+def seek_shapes(index: DataFrame, base: DataFrame, key: str, geography: str, box: tuple[float, float, float, float]) -> DataFrame:
+    """select_intersects through a stored index_shapes: only shapes with cells in the box's cover are read and tested."""
+    met = [(F.col("lo") <= hi) & (F.col("hi") >= lo) for lo, hi in cover_box(*box)]
+    near = index.where(met[0] if len(met) == 1 else F.exists(F.array(*met), lambda x: x) if met else F.lit(False))
+    return select_intersects(lookup(near, base, key), geography, box)
 
 
 def for_cell(index: DataFrame, cell: int, depth: int) -> DataFrame:
@@ -122,14 +133,17 @@ def select_distance(df: DataFrame, geography: str, lat: float, lon: float, metre
 def join_points(points: DataFrame, lat: str, lon: str, areas: DataFrame, key: str, geography: str) -> DataFrame:
     """Each point with each area that holds it: areas' prefixes meet the points' in a hash join, then the exact test.
 
-    An area goes once to each prefix that its cover meets; points stay single. AQE broadcasts the areas if they are small
-    and splits prefixes that hold many points.
+    An area goes once to each prefix that its cover meets; points stay single. Points under a prefix that the area covers
+    skip the test. AQE broadcasts the areas if they are small and splits prefixes that hold many points.
     """
     shift = 8 * (4 - PREFIX_BYTES)
-    covers = index_shapes(areas, key, geography).select(F.col("pk0").alias(key), F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))).alias("_prefix")).distinct()
-    covers = covers.join(areas.select(key, geography), key)
+    first = F.shiftleft(F.col("_prefix"), shift)
+    full = (F.col("cell_attr") == COVER) & (F.col("lo") <= first) & (F.col("hi") >= first + ((1 << shift) - 1))
+    covers = index_shapes(areas, key, geography).withColumn("_prefix", F.explode(F.sequence(F.shiftright("lo", shift), F.shiftright("hi", shift))))
+    covers = covers.groupBy(F.col("pk0").alias(key), "_prefix").agg(F.max(full).alias("_covered")).join(areas.select(key, geography), key)
     near = points.withColumn("_prefix", F.shiftright(make_cell(F.col(lat), F.col(lon)), shift)).join(covers, "_prefix")
-    return near.where(shapes.contains(F.col(geography), F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")))).drop("_prefix", geography)
+    exact = shapes.contains(F.col(geography), F.struct(F.col(lat).alias("lat"), F.col(lon).alias("lon")))
+    return near.where(F.col("_covered") | exact).drop("_prefix", "_covered", geography)
 
 
 class BoxCache:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import shapes
 from terrane.functions.geodesy import point
+from terrane.operators.cover import cover_box, cover_circle, in_ranges
 from terrane.schema import TableDef
 
 #: Floats within this distance are equal.
@@ -206,6 +207,12 @@ class _Shape(Predicate):
     def __init__(self, column: str, hint: str = AUTO, null_as_default: bool = False):
         self.columns, self.hint, self.null_as_default = (column,), hint, null_as_default
 
+    def sought(self, table: TableDef, cover: Callable[[], list[tuple[int, int]]]) -> Column:
+        """True, or where the table stores cells of its points and the hint allows it, that the cell is in the cover."""
+        if table.cell is None or self.hint == IGNORE or self.columns[0] != table.geography:
+            return F.lit(True)
+        return in_ranges(F.col(table.cell), cover())
+
 
 class STContains(_Shape):
     """The shape holds the point; false for a null shape."""
@@ -215,7 +222,8 @@ class STContains(_Shape):
         self.lat, self.lon = lat, lon
 
     def compile(self, table, null_mode):
-        return F.coalesce(shapes.contains(F.col(self.columns[0]), point(self.lat, self.lon)), F.lit(False))
+        pad = 1e-9
+        return self.sought(table, lambda: cover_box(self.lat - pad, self.lon - pad, self.lat + pad, self.lon + pad)) & F.coalesce(shapes.contains(F.col(self.columns[0]), point(self.lat, self.lon)), F.lit(False))
 
 
 class STIntersects(_Shape):
@@ -226,7 +234,7 @@ class STIntersects(_Shape):
         self.box = (min_lat, min_lon, max_lat, max_lon)
 
     def compile(self, table, null_mode):
-        return F.coalesce(shapes.intersects_box(F.col(self.columns[0]), *self.box), F.lit(False))
+        return self.sought(table, lambda: cover_box(self.box[0] - 1e-9, self.box[1] - 1e-9, self.box[2] + 1e-9, self.box[3] + 1e-9)) & F.coalesce(shapes.intersects_box(F.col(self.columns[0]), *self.box), F.lit(False))
 
 
 class STDistance(_Shape):
@@ -239,7 +247,9 @@ class STDistance(_Shape):
     def compile(self, table, null_mode):
         d = shapes.distance(F.col(self.columns[0]), point(self.lat, self.lon))
         d = F.coalesce(d, F.lit(0.0)) if self.null_as_default else d
-        return F.coalesce(COMPARISONS[self.comparison](d, F.lit(float(self.metres))), F.lit(False))
+        exact = F.coalesce(COMPARISONS[self.comparison](d, F.lit(float(self.metres))), F.lit(False))
+        near = self.comparison in ("equal", "less", "less_eq") and not self.null_as_default
+        return self.sought(table, lambda: cover_circle(self.lat, self.lon, self.metres)) & exact if near else exact
 
 
 class STLength(_Shape):

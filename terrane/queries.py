@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,11 +12,11 @@ from terrane.functions import cells, dates, geodesy, shapes, text
 from terrane.functions.wkt import shape_from_text
 from terrane.operators import keys, sets, spatial
 from terrane.operators.components import connected_components
-from terrane.plans.predicates import All, Between, Greater, GreaterEq, If, In, IsNull, Less, LessEq, Not, NotNull, STContains, STDistance, STIntersects, STLength, Where
+from terrane.plans.predicates import USE, All, Between, Greater, GreaterEq, If, In, IsNull, Less, LessEq, Not, NotNull, STContains, STDistance, STIntersects, STLength, Where
 from terrane.plans.query import Select
 from terrane.runtime import cut
 from terrane.schema import ColumnDef, KeyPart, TableDef
-from terrane.sources.catalog import Catalog, null_counts
+from terrane.sources.catalog import KEYS, Catalog, null_counts
 from terrane.sources.dump import dump
 from terrane.streaming.windows import sessions, windowed
 
@@ -201,9 +202,9 @@ def _hav(lat1, lat2, lon1, lon2) -> str:
 _D0 = _hav("lat", _LAT0, "lon", _LON0)
 
 
-def _located(c: Catalog) -> DataFrame:
-    k = F.col("event_id")
-    return c.table("events").select("event_id", ((k * 7919 % 17001).cast("double") / 100 - 85).alias("lat"), ((k * 104729 % 36000).cast("double") / 100 - 180).alias("lon"))
+def _located(c: Catalog, name: str = "events", key: str = "event_id") -> DataFrame:
+    k = F.col(key)
+    return c.table(name).select(key, ((k * 7919 % 17001).cast("double") / 100 - 85).alias("lat"), ((k * 104729 % 36000).cast("double") / 100 - 180).alias("lon"))
 
 
 def _here() -> Column:
@@ -278,6 +279,76 @@ def order_by_geo(c: Catalog):
     return _as_table(c).or_(All()).order_by("g", False, _LAT0, _LON0).top(12).project("event_id").df()
 
 
+def _with_cells(c: Catalog) -> Select:
+    """The same table with a stored column of cells."""
+    plain = _as_table(c)
+    return Select(replace(plain.table, columns=(*plain.table.columns, ColumnDef("cell", "bigint")), cell="cell"), cut(plain.source.withColumn("cell", cells.make_cell(F.col("lat"), F.col("lon")))))
+
+
+@query(f"SELECT event_id FROM ({_E}) WHERE {_D0} < 900000 OR lat BETWEEN -30 AND -10 AND lon BETWEEN 5 AND 25")
+def spatial_seek(c: Catalog):
+    return _with_cells(c).or_(STDistance("g", "less", _LAT0, _LON0, 900_000.0, hint=USE)).or_(STIntersects("g", -30.0, 5.0, -10.0, 25.0, hint=USE)).project("event_id").df()
+
+
+def _squares(rows: DataFrame, key: str = "event_id") -> DataFrame:
+    """Around each point away from the edges of the plane a square with a square hole, an equal one 8 degrees further on, and a diagonal."""
+    at = lambda dy, dx: F.struct((F.col("lat") + dy).alias("lat"), (F.col("lon") + dx).alias("lon"))
+    ring = lambda r, dx: F.array(at(-r, dx - r), at(-r, dx + r), at(r, dx + r), at(r, dx - r), at(-r, dx - r))
+    several = F.struct(F.lit("MultiPolygon").alias("kind"), F.array(ring(2, 0), ring(1, 0), ring(2, 8)).alias("rings"), F.array(F.lit(0), F.lit(1), F.lit(0)).alias("roles"))
+    line = F.struct(F.lit("LineString").alias("kind"), F.array(F.array(at(-3, -3), at(3, 3))).alias("rings"), F.array(F.lit(0)).alias("roles"))
+    return rows.where(_INSIDE).select(key, "lat", "lon", several.alias("g"), line.alias("l"))
+
+
+_INSIDE = "abs(lat) < 80 AND lon BETWEEN -170 AND 160"
+_BOX = (9.997, 19.997, 12.003, 23.003)
+
+
+def _square_sql(east: int, box: tuple[float, float, float, float] = _BOX) -> str:
+    return f"(lat + 2 >= {box[0]} AND lat - 2 <= {box[2]} AND lon + {east} + 2 >= {box[1]} AND lon + {east} - 2 <= {box[3]})"
+
+
+@query(f"SELECT event_id FROM ({_E}) WHERE {_INSIDE} AND ({_square_sql(0)} AND NOT (lat - 1 < {_BOX[0]} AND lat + 1 > {_BOX[2]} AND lon - 1 < {_BOX[1]} AND lon + 1 > {_BOX[3]}) OR {_square_sql(8)})")
+def shape_intersects(c: Catalog):
+    return spatial.select_intersects(_squares(_located(c)), "g", _BOX).select("event_id")
+
+
+@query(f"SELECT event_id FROM ({_E}) WHERE {_INSIDE} AND greatest(-3, {_BOX[0]} - lat, {_BOX[1]} - lon) <= least(3, {_BOX[2]} - lat, {_BOX[3]} - lon)")
+def line_intersects(c: Catalog):
+    return spatial.select_intersects(_squares(_located(c)), "l", _BOX).select("event_id")
+
+
+_HELD = "(abs(lat - 11.003) < 2 AND abs(lon - 21.003) < 2 AND NOT (abs(lat - 11.003) < 1 AND abs(lon - 21.003) < 1) OR abs(lat - 11.003) < 2 AND abs(lon + 8 - 21.003) < 2)"
+
+
+@query(f"SELECT event_id FROM ({_E}) WHERE {_INSIDE} AND {_HELD}")
+def shape_contains(c: Catalog):
+    return _squares(_located(c)).where(shapes.contains(F.col("g"), geodesy.point(11.003, 21.003))).select("event_id")
+
+
+@query(f"SELECT event_id FROM ({_E}) WHERE {_INSIDE} AND {_HELD}")
+def shape_distance_zero(c: Catalog):
+    return spatial.select_distance(_squares(_located(c)), "g", 11.003, 21.003, 0.0).select("event_id")
+
+
+_WIDE = (-10.003, 19.997, 12.003, 53.003)
+
+
+@query(f"SELECT c_custkey FROM (SELECT c_custkey, {_LATLON.replace('event_id', 'c_custkey')} FROM customer) WHERE {_INSIDE} AND ({_square_sql(0, _WIDE)} OR {_square_sql(8, _WIDE)})")
+def shape_index_seek(c: Catalog):
+    rows = _squares(_located(c, "customer", "c_custkey"), "c_custkey")
+    return spatial.seek_shapes(cut(spatial.index_shapes(rows, "c_custkey", "g")), rows, "c_custkey", "g", _WIDE).select("c_custkey")
+
+
+@query(f"SELECT 2 AS cell_attr, count(*) > 0 AS met, true AS inside FROM ({_E})")
+def shape_index_covered(c: Catalog):
+    """Events in covered cells of the polygon are in the polygon, and there are some."""
+    area = c.spark.range(1).select("id", shapes.shape("Polygon", [_POLYGON, _HOLE], [0, 1]).alias("g"))
+    index = spatial.index_shapes(area, "id", "g").where(F.col("cell_attr") == spatial.COVER)
+    met = _located(c).withColumn("cell", cells.make_cell(F.col("lat"), F.col("lon"))).join(index, F.col("cell").between(F.col("lo"), F.col("hi")))
+    inside = shapes.contains(shapes.shape("Polygon", [_POLYGON, _HOLE], [0, 1]), _here())
+    return met.agg(F.max(F.col("cell_attr").cast("int")).alias("cell_attr"), (F.count(F.lit(1)) > 0).alias("met"), F.every(inside).alias("inside"))
+
+
 def _line(c: Catalog) -> DataFrame:
     """Three points a row: the event's, one fixed and one shifted."""
     ring = F.array(_here(), geodesy.point(10.0, 20.0), F.struct((-F.col("lat") / 2).alias("lat"), (F.col("lon") / 2).alias("lon")))
@@ -322,16 +393,11 @@ def geo_envelope(c: Catalog):
     return c.spark.range(1).select(shapes.envelope(shapes.shape("Polygon", [_POLYGON])).alias("e")).select("e.*")
 
 
-@query(f"SELECT event_id, 'POINT (' || CAST(CAST(lon AS DECIMAL(10, 2)) AS VARCHAR) || ' ' || CAST(CAST(lat AS DECIMAL(10, 2)) AS VARCHAR) || ')' AS wkt FROM ({_E}) WHERE (event_id * 7919) % 17001 % 10 <> 0 AND (event_id * 104729) % 36000 % 10 <> 0")
-def geo_as_text(c: Catalog):
-    k = F.col("event_id")
-    rows = _located(c).where((k * 7919 % 17001 % 10 != 0) & (k * 104729 % 36000 % 10 != 0))
-    return rows.select("event_id", shapes.as_text(shapes.point_shape(F.col("lat"), F.col("lon"))).alias("wkt"))
+_PRINTED = "rtrim(rtrim(CAST(CAST({0} AS DECIMAL(10, 2)) AS VARCHAR), '0'), '.')"
 
 
-@query()
-def geo_as_text_all(c: Catalog):
-    """geo_as_text of every event; its SQL prints trailing zeros and so covers only points without any."""
+@query(f"SELECT event_id, 'POINT (' || {_PRINTED.format('lon')} || ' ' || {_PRINTED.format('lat')} || ')' AS wkt FROM ({_E})")
+def geo_as_text(c: Catalog):
     return _located(c).select("event_id", shapes.as_text(shapes.point_shape(F.col("lat"), F.col("lon"))).alias("wkt"))
 
 
@@ -486,21 +552,36 @@ def dt_parts_round_trip(c: Catalog):
 # --- catalog, dumps ----------------------------------------------------------------------------------------------
 
 
-@query()
+_KEY_ROWS = ", ".join(str((n, i, k)) for n in sorted(KEYS) for i, k in enumerate(KEYS[n]))
+_KEYED = f"(VALUES {_KEY_ROWS}) k(table_name, position, column_name)"
+#: Columns as the database sees its views, with the type that holds each; text of a key has a fixed width.
+_COLUMNS = f"""SELECT i.table_name, CAST(i.ordinal_position - 1 AS INTEGER) AS position, i.column_name,
+    CASE i.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'SMALLINT' THEN 'smallint' WHEN 'TINYINT' THEN 'tinyint' WHEN 'DOUBLE' THEN 'float' WHEN 'FLOAT' THEN 'real' WHEN 'BOOLEAN' THEN 'bit'
+      WHEN 'TIMESTAMP' THEN 'datetime' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'datetimeoffset' WHEN 'DATE' THEN 'date' WHEN 'BLOB' THEN 'varbinary' WHEN 'VARCHAR' THEN CASE WHEN k.position IS NULL THEN 'nvarchar' ELSE 'nchar' END ELSE 'sql_variant' END AS sql_type
+  FROM information_schema.columns i LEFT JOIN {_KEYED} USING (table_name, column_name) WHERE i.table_name IN (SELECT table_name FROM {_KEYED})"""
+_FIXED = "sql_type NOT IN ('nvarchar', 'varbinary', 'sql_variant')"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY table_name) AS INTEGER) AS table_id, table_name, CAST(count(*) AS INTEGER) AS n_columns, CAST(count(*) FILTER ({_FIXED}) AS INTEGER) AS n_fixed, CAST((SELECT count(*) FROM {_KEYED} WHERE k.table_name = c.table_name) AS INTEGER) AS n_key_parts FROM ({_COLUMNS}) c GROUP BY table_name")
 def catalog_tables(c: Catalog):
     return c.tables()
 
 
-@query()
+@query(f"SELECT table_name, position, column_name, sql_type, {_FIXED} AS fixed, true AS nullable FROM ({_COLUMNS})")
 def catalog_columns(c: Catalog):
     return c.columns()
 
 
-@query()
+@query(f"SELECT DISTINCT table_name, 1 AS kind, 'CLUSTERED' AS kind_name FROM {_KEYED}")
 def catalog_indexes(c: Catalog):
     return c.indexes()
 
 
+@query(f"SELECT table_name, position, column_name, true AS ascending FROM {_KEYED}")
+def catalog_index_columns(c: Catalog):
+    return c.index_columns()
+
+
 @query("SELECT count(*) AS n FROM lineitem")
 def record_count(c: Catalog):
     return c.table("lineitem").agg(F.count(F.lit(1)).alias("n"))

@@ -60,6 +60,8 @@ class TableDef:
     columns: tuple[ColumnDef, ...]
     key: tuple[KeyPart, ...] = field(default=())
     geography: str | None = None
+    #: A stored column with the cells of the geography's points; spatial predicates then search it first.
+    cell: str | None = None
 
     def __post_init__(self):
         names = [c.name for c in self.columns]
