@@ -87,6 +87,19 @@ def box_is_valid(min_lat: float, min_lon: float, max_lat: float, max_lon: float)
     return all(-90 <= x <= 90 for x in (min_lat, max_lat)) and all(-180 <= x <= 180 for x in (min_lon, max_lon))
 
 
+def normalize_box(e: Column) -> Column:
+    """A box with its corners brought to latitudes of -90 to 90 and longitudes of -180 to 180, each by itself."""
+    norm = {"lat": G.norm_latitude, "lon": G.norm_longitude}
+    return F.struct(*[norm[k[-3:]](e[k]).alias(k) for k in ("min_lat", "min_lon", "max_lat", "max_lon")])
+
+
+def extremes(ring: Column, coordinate: str) -> Column:
+    """Places of the first point with the least and the first with the greatest `lat` or `lon`; null for no points."""
+    values = F.transform(ring, lambda p: p[coordinate])
+    place = lambda x: F.array_position(values, x) - 1
+    return F.when(F.size(ring) > 0, F.struct(place(F.array_min(values)).alias("least"), place(F.array_max(values)).alias("greatest")))
+
+
 def winding(ring: Column) -> Column:
     """1: counter-clockwise; -1: clockwise (an interior ring by the shoelace rule)."""
     twice = F.aggregate(segments(ring), F.lit(0.0), lambda s, e: s + (e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]))

@@ -1,8 +1,9 @@
-"""Well-known text to shapes at ingest, with the roles of rings found by nesting."""
+"""Well-known text and binary to shapes at ingest, with the roles of rings found by nesting."""
 
 from __future__ import annotations
 
 import re
+import struct
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,13 +53,78 @@ def parse(text: str | None) -> tuple[str, list, list] | None:
     return (kind, rings, roles) if rings else None
 
 
-def _shapes(texts: pd.Series) -> pd.DataFrame:
+#: Codes of well-known binary.
+_CODES = {1: "Point", 2: "LineString", 3: "Polygon", 5: "MultiLineString", 6: "MultiPolygon"}
+
+
+class _Binary:
+    """Reads well-known binary from front to end; either order of bytes, two coordinates a point."""
+
+    def __init__(self, data: bytes):
+        self.data, self.at, self.order = data, 0, "<"
+
+    def take(self, form: str) -> tuple:
+        found = struct.unpack_from(self.order + form, self.data, self.at)
+        self.at += struct.calcsize(self.order + form)
+        return found
+
+    def points(self, n: int) -> list[tuple[float, float]]:
+        if n < 1 or self.at + 16 * n > len(self.data):
+            raise ValueError("no points, or fewer than stated")
+        xy = self.take(f"{2 * n}d")
+        return list(zip(xy[1::2], xy[::2], strict=True))
+
+    def shape(self) -> tuple[str, list]:
+        self.order = "<" if self.take("B")[0] else ">"
+        kind = _CODES[self.take("I")[0]]
+        if kind == "Point":
+            return kind, [self.points(1)]
+        n = self.take("I")[0]
+        if kind == "LineString":
+            return kind, [self.points(n)]
+        if kind == "Polygon":
+            return kind, [self.points(self.take("I")[0]) for _ in range(n)]
+        rings = []
+        for _ in range(n):
+            inner, found = self.shape()
+            if f"Multi{inner}" != kind:
+                raise ValueError(f"a {inner} in a {kind}")
+            rings += found
+        return kind, rings
+
+
+def parse_binary(data: bytes | None) -> tuple[str, list, list] | None:
+    """(kind, rings, roles) of well-known binary; None where it is no supported shape or has bytes too many or too few."""
+    reader = _Binary(bytes(data or b""))
+    try:
+        kind, rings = reader.shape()
+    except (struct.error, KeyError, ValueError):
+        return None
+    if reader.at != len(reader.data) or not rings or any(x != x for ring in rings for p in ring for x in p):
+        return None
+    return kind, rings, ring_roles(rings) if "Polygon" in kind else [0] * len(rings)
+
+
+def _shapes(values: pd.Series, read) -> pd.DataFrame:
     rows = []
-    for found in map(parse, texts):
+    for found in map(read, values):
         rows.append({"kind": None, "rings": None, "roles": None} if found is None else {"kind": found[0], "rings": [[{"lat": a, "lon": b} for a, b in r] for r in found[1]], "roles": found[2]})
     return pd.DataFrame(rows, columns=["kind", "rings", "roles"])
 
 
+def _text_shapes(texts: pd.Series) -> pd.DataFrame:
+    return _shapes(texts, parse)
+
+
+def _binary_shapes(data: pd.Series) -> pd.DataFrame:
+    return _shapes(data, parse_binary)
+
+
 def shape_from_text(text: Column | str) -> Column:
     """The shape of well-known text; its fields are null where the text is no supported shape."""
-    return F.pandas_udf(_shapes, _SHAPE)(text)
+    return F.pandas_udf(_text_shapes, _SHAPE)(text)
+
+
+def shape_from_binary(data: Column | str) -> Column:
+    """The shape of well-known binary; its fields are null where it is no supported shape."""
+    return F.pandas_udf(_binary_shapes, _SHAPE)(data)

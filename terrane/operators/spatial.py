@@ -62,6 +62,11 @@ def seek_shapes(index: DataFrame, base: DataFrame, key: str, geography: str, box
     return select_intersects(lookup(near, base, key), geography, box)
 
 
+def attribute_histogram(index: DataFrame) -> DataFrame:
+    """cell_attr and how many index rows have it."""
+    return index.groupBy("cell_attr").agg(F.count(F.lit(1)).alias("n"))
+
+
 def for_cell(index: DataFrame, cell: int, depth: int) -> DataFrame:
     """Index rows of points whose cell is below the given one. An index is best stored: its cells are then plain columns."""
     lo, hi = id_range(cell, depth)

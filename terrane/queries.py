@@ -443,6 +443,11 @@ def index_extent(c: Catalog):
     return spatial.min_max_cell(spatial.index_points(_located(c), "event_id", F.col("lat"), F.col("lon")))
 
 
+@query("SELECT CAST(1 AS TINYINT) AS cell_attr, count(*) AS n FROM events")
+def index_attributes(c: Catalog):
+    return spatial.attribute_histogram(spatial.index_points(_located(c), "event_id", F.col("lat"), F.col("lon")))
+
+
 # --- sets --------------------------------------------------------------------------------------------------------
 
 

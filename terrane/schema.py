@@ -23,6 +23,8 @@ OBJECT_KINDS = {
     "IF": "SQL_INLINE_TABLE_VALUED_FUNCTION", "IT": "INTERNAL_TABLE", "P": "SQL_STORED_PROCEDURE", "PC": "CLR_STORED_PROCEDURE", "PG": "PLAN_GUIDE", "PK": "PRIMARY_KEY_CONSTRAINT", "R": "RULE", "RF": "REPLICATION_FILTER_PROCEDURE",
     "S": "SYSTEM_TABLE", "SN": "SYNONYM", "SQ": "SERVICE_QUEUE", "TA": "CLR_TRIGGER", "TF": "SQL_TABLE_VALUED_FUNCTION", "TR": "SQL_TRIGGER", "TT": "TYPE_TABLE", "U": "USER_TABLE", "UQ": "UNIQUE_CONSTRAINT", "V": "VIEW", "X": "EXTENDED_STORED_PROCEDURE",
 }
+#: Kinds of complex columns.
+COMPLEX_KINDS = ("row_overflow", "blob_inline_root", "sparse_vector", "forwarded")
 INDEX_KINDS = {0: "HEAP", 1: "CLUSTERED", 2: "NONCLUSTERED", 3: "XML", 4: "SPATIAL"}
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.plans.query import Select
@@ -87,13 +88,33 @@ class Catalog:
         """The row at a place of a file; for diagnosis."""
         return self.table(name).where((F.col("_metadata.file_path") == file_path) & (F.col("_metadata.row_index") == row_index))
 
-    def checksum(self, name: str) -> DataFrame:
-        """One row: rows and an order-free checksum of all columns, arrays too; a null differs from an empty value."""
+    def _sums(self, name: str) -> tuple[DataFrame, list[Column]]:
         df = self.table(name)
         nested = lambda kind: kind.startswith(("array", "map", "struct"))
         texts = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) if nested(kind) else F.col(c).cast("string") for c, kind in df.dtypes]
         h = F.crc32(F.concat_ws("|", *[F.coalesce(x, F.lit("\0")) for x in texts]).cast("binary"))
-        return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("long").alias("checksum"))
+        return df, [F.count(F.lit(1)).alias("n_rows"), F.sum(h).cast("long").alias("checksum")]
+
+    def checksum(self, name: str) -> DataFrame:
+        """One row: rows and an order-free checksum of all columns, arrays too; a null differs from an empty value."""
+        df, sums = self._sums(name)
+        return df.agg(*sums)
+
+    def file_checksums(self, name: str) -> DataFrame:
+        """file_path, n_rows and checksum of each file of a table that has rows; a file is the unit that can go bad."""
+        df, sums = self._sums(name)
+        return df.groupBy(F.col("_metadata.file_path").alias("file_path")).agg(*sums)
+
+    def scan_checksum(self, name: str, stored: DataFrame, bad: Callable[[Row], bool | None] = lambda row: False) -> bool:
+        """Compares the files with file_checksums stored before, and calls `bad` with each that differs.
+
+        Its row has file_path, n_rows and checksum as stored and, as now_rows and now_checksum, as they are now; a file
+        that is gone or new has nulls on one side. The scan stops when `bad` returns False. True if it came to the end.
+        """
+        now = self.file_checksums(name).withColumnsRenamed({"n_rows": "now_rows", "checksum": "now_checksum"})
+        same = F.col("n_rows").eqNullSafe(F.col("now_rows")) & F.col("checksum").eqNullSafe(F.col("now_checksum"))
+        differing = stored.join(now, "file_path", "full").where(~same).orderBy("file_path")
+        return all(bad(row) is not False for row in differing.toLocalIterator())
 
 
 def null_counts(df: DataFrame) -> DataFrame:

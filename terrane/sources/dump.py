@@ -59,6 +59,29 @@ def export_script(table: TableDef, source: str, target: str, spatial: bool = Tru
     return "\n".join(lines) + "\n"
 
 
+def export_all(schema: list[tuple[str, str, int, str]], source: str, target: str, geography: str | None = None, spatial: bool = True) -> str:
+    """One script for all tables of a schema list (table, column, position, schema), by schema, table and position.
+
+    First queries that show invalid shapes of the source, then the spatial indexes, then the copies. A table that has
+    the geography column fills its columns ST_AREA and ST_LENGTH from it. Tables must exist in the target.
+    """
+    tables: dict[tuple[str, str], list[str]] = {}
+    for table, column, _, owner in sorted(schema, key=lambda r: (r[3], r[0], r[2])):
+        tables.setdefault((owner, table), []).append(column)
+    checks, indexes, copies = [], [], []
+    for (owner, table), columns in tables.items():
+        here, there = f"[{source}].[{owner}].[{table}]", f"[{target}].[{owner}].[{table}]"
+        from_shape = {}
+        if geography and geography in columns:
+            from_shape = {"ST_AREA": f"{geography}.STArea() AS ST_AREA", "ST_LENGTH": f"{geography}.STLength() AS ST_LENGTH"}
+            checks += [f"PRINT 'CHECK {here}'", "GO", f"SELECT * FROM {here} WHERE {geography}.STIsValid() = 0;", "GO"]
+            if spatial:
+                indexes += [f"CREATE SPATIAL INDEX SPATIAL_{owner.upper()}_{table.upper()} ON {there}({geography}) USING GEOGRAPHY_GRID WITH (GRIDS = (HIGH, HIGH, HIGH, HIGH), CELLS_PER_OBJECT = {CELLS_PER_OBJECT});", "GO"]
+        picked = ", ".join(from_shape.get(c, c) for c in columns)
+        copies += [f"PRINT 'INSERT INTO {there}'", "GO", f"SET IDENTITY_INSERT {there} ON;", f"INSERT INTO {there} ({', '.join(columns)})", f"SELECT {picked} FROM {here};", f"SET IDENTITY_INSERT {there} OFF;", "GO"]
+    return "".join(f"{line}\n" for line in checks + indexes + copies)
+
+
 def generate_definition(table: TableDef) -> str:
     """Python source that defines the table; running it gives an equal definition under the table's name."""
     columns = ", ".join(f"ColumnDef({c.name!r}, {c.sql_type!r}, {c.length!r}, {c.nullable!r})" for c in table.columns)

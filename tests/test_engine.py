@@ -8,7 +8,7 @@ from terrane.plans.predicates import All, Between, Greater, If, In, IsNull, Less
 from terrane.plans.query import Select, find, scan_if
 from terrane.schema import ColumnDef, KeyPart, TableDef
 from terrane.sources.catalog import Catalog, null_counts
-from terrane.sources.dump import dump, export_script, generate_definition, load_definition
+from terrane.sources.dump import dump, export_all, export_script, generate_definition, load_definition
 from terrane.sources.text_files import read_points, read_schema_list
 
 T = TableDef("t", (ColumnDef("Id", "int", 4), ColumnDef("Id2", "bigint", 8), ColumnDef("Col1", "char", 6), ColumnDef("x", "float")), (KeyPart("Id"), KeyPart("Id2", False)))
@@ -149,3 +149,28 @@ def test_checksum_of_arrays_and_nulls(spark, tmp_path):
     others = [[(1, [1.0, 3.0], "x"), (2, None, None)], [(1, [2.0, 1.0], "x"), (2, None, None)], [(1, [1.0, 2.0], "x"), (2, [], None)], [(1, [1.0, 2.0], "x"), (2, None, "")]]
     assert len({base, *(checksum(f"c{i}", rows) for i, rows in enumerate(others))}) == 5
     assert checksum("d", [(1, [1.0, None], "x")]) != checksum("e", [(1, [1.0], "x")])
+
+
+def test_checksums_of_files(spark, tmp_path):
+    path = str(tmp_path / "a.parquet")
+    catalog = Catalog(spark, str(tmp_path), ["a"])
+    for first in (0, 10, 20):
+        spark.range(first, first + 5).coalesce(1).write.mode("append").parquet(path)
+    stored = spark.createDataFrame(catalog.file_checksums("a").collect())
+    assert stored.count() == 3 and sum(r.n_rows for r in stored.collect()) == 15
+    found = []
+    assert catalog.scan_checksum("a", stored, found.append) and not found
+    changed = stored.withColumn("checksum", F.col("checksum") + F.when(F.col("file_path") == stored.first().file_path, 1).otherwise(0))
+    assert catalog.scan_checksum("a", changed, found.append) and [r.file_path for r in found] == [stored.first().file_path]
+    assert not catalog.scan_checksum("a", changed) and not catalog.scan_checksum("a", stored.limit(1))
+    spark.range(7).coalesce(1).write.mode("append").parquet(path)
+    found.clear()
+    assert catalog.scan_checksum("a", stored, found.append) and [(r.n_rows, r.now_rows) for r in found] == [(None, 7)]
+
+
+def test_export_of_a_schema_list():
+    rows = [("t", "g", 2, "dbo"), ("t", "ST_AREA", 3, "dbo"), ("t", "id", 1, "dbo"), ("u", "ST_AREA", 1, "app")]
+    script = export_all(rows, "a", "b", "g")
+    assert "SELECT id, g, g.STArea() AS ST_AREA FROM [a].[dbo].[t];" in script and "SELECT ST_AREA FROM [a].[app].[u];" in script
+    assert script.count("STIsValid") == 1 and script.index("STIsValid") < script.index("SPATIAL_DBO_T") < script.index("[app].[u]") < script.index("INTO [b].[dbo].[t]")
+    assert "STIsValid" not in export_all(rows, "a", "b") and "INDEX" not in export_all(rows, "a", "b", "g", spatial=False) and export_all([], "a", "b") == ""

@@ -1,4 +1,5 @@
 import math
+import struct
 
 import numpy as np
 import pytest
@@ -178,3 +179,48 @@ def test_as_text_of_all_events(spark):
     expected = {k: f"POINT ({printed(k * 104729 % 36000 - 18000)} {printed(k * 7919 % 17001 - 8500)})" for k in ids}
     got = {r.event_id: r.wkt for r in QUERIES["geo_as_text"](spark, sf).collect()}
     assert got == expected and len(got) == len(ids) == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def _wkb(order, kind, body):
+    return struct.pack(order + "BI", order == "<", kind) + body
+
+
+def _line(order, points):
+    return struct.pack(order + "I", len(points)) + b"".join(struct.pack(order + "2d", *p) for p in points)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_binary_is_as_text(spark, order):
+    outer, hole = [(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)], [(4, 4), (6, 4), (6, 6), (4, 6), (4, 4)]
+    far = [(20, 20), (30, 20), (30, 30), (20, 20)]
+    polygon = _wkb(order, 3, struct.pack(order + "I", 2) + _line(order, outer) + _line(order, hole))
+    other = _wkb(">", 3, struct.pack(">I", 1) + _line(">", far))
+    string = _wkb(order, 2, _line(order, [(1, 2), (3, 4)]))
+    rows = {
+        "POINT (1.5 -2)": _wkb(order, 1, struct.pack(order + "2d", 1.5, -2)), "LINESTRING (1 2, 3 4)": string,
+        "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4))": polygon,
+        "MULTIPOLYGON (((0 0, 10 0, 10 10, 0 10, 0 0), (4 4, 6 4, 6 6, 4 6, 4 4)), ((20 20, 30 20, 30 30, 20 20)))": _wkb(order, 6, struct.pack(order + "I", 2) + polygon + other),
+        "MULTILINESTRING ((1 2, 3 4), (1 2, 3 4))": _wkb(order, 5, struct.pack(order + "I", 2) + string + string),
+    }
+    for text, data in rows.items():
+        assert wkt.parse_binary(data) == wkt.parse(text)
+    bad = [None, b"", string[:-1], string + b"x", _wkb(order, 4, struct.pack(order + "I", 0)), _wkb(order, 7, b""), _wkb(order, 2, _line(order, [])), _wkb(order, 6, struct.pack(order + "I", 1) + string), _wkb(order, 2, struct.pack(order + "I", 1 << 31))]
+    assert [wkt.parse_binary(x) for x in bad] == [None] * len(bad)
+    df = spark.createDataFrame([(t, d) for t, d in rows.items()] + [(None, b"?")], "t string, d binary")
+    got = df.select("t", wkt.shape_from_binary("d").alias("g")).select("t", shapes.as_text(F.col("g")).alias("out"), F.col("g.kind").alias("kind")).collect()
+    assert all(r.out == r.t for r in got if r.t) and [r.kind for r in got if r.t is None] == [None]
+
+
+def test_boxes_and_extremes(value):
+    box = F.struct(*[F.lit(float(x)).alias(k) for k, x in (("min_lat", -95), ("min_lon", -190), ("max_lat", 45), ("max_lon", 190))])
+    assert tuple(value(shapes.normalize_box(box))[0]) == (-85, 170, 45, -170)
+    ring = F.array(*[G.point(a, b) for a, b in [(1, 5), (0, 5), (0, 2), (3, 2), (3, 4)]])
+    got = value(shapes.extremes(ring, "lat"), shapes.extremes(ring, "lon"), shapes.extremes(F.slice(ring, 1, 1), "lat"), shapes.extremes(F.slice(ring, 1, 0), "lat"))
+    assert [x and tuple(x) for x in got] == [(1, 3), (2, 0), (0, 0), None]
+
+
+def test_attribute_histogram(spark):
+    area = spark.range(1).select("id", shapes.shape("Polygon", [[(0, 0), (0, 10), (10, 10), (10, 0), (0, 0)]], [0]).alias("g"))
+    index = spatial.index_shapes(area, "id", "g")
+    got = {r.cell_attr: r.n for r in spatial.attribute_histogram(index).collect()}
+    assert set(got) == {spatial.PART, spatial.COVER} and sum(got.values()) == index.count()
