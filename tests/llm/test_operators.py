@@ -101,6 +101,55 @@ def test_bytes(docs):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in dedup_bytes(docs).collect()} == expected
 
 
+def test_bytes_of_common_strings(spark, monkeypatch, tmp_path):
+    """Strings of 24 to 60 bytes in ever other surroundings: results as by brute force, and few windows go by themselves."""
+    from terrane.llm import repeats, suffix_dedup
+
+    rng, asked = random.Random(11), []
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    common = [word(rng.randint(24, 34)) for _ in range(150)] + [word(rng.randint(36, 60)) for _ in range(20)]
+    rows = [(i, "".join(rng.choice(common) + word(rng.randint(0, 40)) for _ in range(20))) for i in range(300)]
+    rows += [(300 + i, rows[rng.randrange(300)][1][100:400] + word(30) + rows[rng.randrange(300)][1][50:120]) for i in range(60)]
+    seen, expected = set(), {}
+    for d, t in rows:
+        gone, own = [False] * len(t), {t[i : i + 50] for i in range(len(t) - 49)}
+        for i in range(len(t) - 49):
+            if t[i : i + 50] in seen:
+                gone[i : i + 50] = [True] * 50
+        seen |= own
+        expected[d] = (len(t), sum(gone))
+    write = repeats.Scratch.write
+
+    def counted(self, df, *args, **more):
+        out = write(self, df, *args, **more)
+        if "counts" in out.columns:  # the keys that chunks send after the first round
+            asked.append(out.where("bucket >= 0").selectExpr("sum(length(a) / 8)").first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(repeats.Scratch, "write", counted)
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 20_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: (r.n_bytes, r.n_removed) for r in dedup_bytes(df).collect()} == expected
+    assert sum(asked) < sum(len(t) for _, t in rows) / 8
+
+
+def test_shuffles_are_released(spark):
+    """A table that is written with release leaves no files of shuffles; the setting is as before."""
+    import time
+
+    from terrane.llm.common import Scratch
+
+    held = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f.split("/")[-1] for f in held.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, was, end = files(), spark.conf.get(setting), time.time() + 20
+    done = Scratch(spark).write(spark.range(1000).repartition(7, "id"), "ids", release=True)
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(setting) == was and done.count() == 1000
+
+
 def test_index_family():
     """Batches are scanned against the levels: each key gives the first value that was added with it."""
     rng, family, sizes, first = np.random.default_rng(1), IndexFamily(), [], {}
