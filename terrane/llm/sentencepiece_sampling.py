@@ -4,7 +4,7 @@ A text is cut where no piece reaches across (before the first of a run of spaces
 piece holds); each unit has a lattice whose arcs are the pieces that match. Forward filtering sums the weights of all
 ways to reach a place; backward sampling draws the last piece of a unit with its share of that sum, then the one before
 it, and so on. All units of a slice are filtered and sampled at once, place by place; a unit that occurs often is
-filtered once. Draws are hashes of the seed, the row's key, the unit's number in the row and the step, so they are the
+filtered once. Pieces are found by a double-array trie, a byte of all places at a time. Draws are hashes of the seed, the row's key, the unit's number in the row and the step, so they are the
 same however rows are dealt out.
 
 A piece's weight is exp(scale * score). A character without a piece of its own becomes its UTF-8 bytes, as does the
@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terrane.llm.common import Rolling, byte_symbols, ints, mix, run_hashes, same_runs, slices, small_batches, text_bytes
+from terrane.llm.common import ints, mix, run_hashes, same_runs, slices, small_batches, text_bytes
 
 SPACE = "▁"
 #: Exponent of a point of score; seed of the draws; what a character's bytes cost beside the least score.
@@ -34,7 +34,6 @@ SCALE, SEED, BYTES_COST = 5e-4, 17, 10.0
 _SLICE, _DECODED = 1 << 19, 100
 _CHAR_BYTES = np.ones(256, np.int64)
 _CHAR_BYTES[0xC0:0xE0], _CHAR_BYTES[0xE0:0xF0], _CHAR_BYTES[0xF0:] = 2, 3, 4
-_TOP = 1 - 1e-7
 
 
 @dataclass(frozen=True)
@@ -63,20 +62,60 @@ def load_vocabulary(path: str) -> Vocabulary:
     return Vocabulary(pieces, scores, byte_ids)
 
 
+class Trie:
+    """Byte strings as a double array: the child of state s by byte c is t = base[s] + c, if owner[t] is s."""
+
+    def __init__(self, body: list[bytes]):
+        child: list[dict[int, int]] = [{}]
+        ends = {}
+        for i, piece in enumerate(body):
+            node = 0
+            for c in piece:
+                node = child[node].setdefault(c, len(child))
+                if node == len(child):
+                    child.append({})
+            ends.setdefault(node, i)
+        # each node's children go to the first places that are free; a place is looked for beyond those of single bytes
+        free, state, low = bytearray(b"\1") * (2 * len(child) + 1024), [0] * len(child), 256
+        base, owner = [0] * len(free), [-1] * len(free)
+        for node, to in enumerate(child):  # a node comes after its parent
+            if not to:
+                continue
+            codes = sorted(to)
+            low = at = free.index(1, low)
+            while not all(free[at - codes[0] + c] for c in codes):
+                at = free.index(1, at + 1)
+            at -= codes[0]
+            base[state[node]] = at
+            for c in codes:
+                free[at + c], owner[at + c], state[to[c]] = 0, state[node], at + c
+            if at + 1024 > len(free):
+                more = len(free)
+                free, base, owner = free + bytearray(b"\1") * more, base + [0] * more, owner + [-1] * more
+        self.base, self.owner = np.array(base, np.int32), np.array(owner, np.int32)
+        #: The string that ends in a state, or -1.
+        self.final = np.full(len(self.base), -1, np.int32)
+        for node, i in ends.items():
+            self.final[state[node]] = i
+
+    def walk(self, symbols: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n = 1, 2, ...: the places of those in at where a string of n symbols stands, and which; no string has a symbol beyond 255."""
+        state, n = np.zeros(len(at), np.int32), 0
+        while len(at):
+            to = self.base.take(state) + symbols.take(at + n)
+            on = np.flatnonzero(self.owner.take(to) == state)
+            at, state, n = at.take(on), to.take(on), n + 1
+            which = self.final.take(state)
+            hit = np.flatnonzero(which >= 0)
+            yield at.take(hit), which.take(hit)
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary, scale: float = SCALE, seed: int = SEED):
         ids = [i for i, p in enumerate(vocabulary.pieces) if p]
         body = [vocabulary.pieces[i] for i in ids]
-        raw, size = np.frombuffer(b"".join(body), np.uint8), np.array([len(p) for p in body])
-        stop = np.cumsum(size)
-        h = Rolling(byte_symbols(raw)).runs(stop - size, stop)
-        order = np.argsort(h)
-        self.pieces, self.begin = raw, (stop - size)[order]
-        self.known, self.id = h[order], np.array(ids)[order]
-        self.weight = np.array([vocabulary.scores[i] for i in ids])[order] * scale
-        self.lengths = np.unique(size)
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[h >> np.uint64(44)] = True
+        self.trie, self.id = Trie(body), np.array(ids, np.int32)
+        self.weight = np.array([vocabulary.scores[i] for i in ids]) * scale
         self.byte_ids, self.byte_weight = vocabulary.byte_ids, min(vocabulary.scores) * scale - BYTES_COST
         self.seed = mix(np.array([seed], np.uint64))[0]
         # where texts may be cut
@@ -100,63 +139,72 @@ class Encoder:
         return np.flatnonzero(begins[:-1])
 
     def _lattice(self, raw: np.ndarray, edge: np.ndarray):
-        """Arcs (first node, last node, piece or -1, first byte) in order of their last node, and the share of each there."""
+        """Ways to the nodes of all units: nodes by place and then by unit (the longest first), so that a place is one block.
+
+        Gives the last node of each unit, the number of first nodes, where the arcs into each node begin, and of each
+        arc its first node, the sum of the shares up to it (2 for the last one of a node), piece or -1, first byte, ids.
+        """
         size = np.diff(edge)
-        unit = np.repeat(np.arange(len(size)), size)
-        stop = edge[1:][unit]
-        rolling = Rolling(byte_symbols(raw))
-        at = np.flatnonzero((raw & 0xC0) != 0x80)
-        own = _CHAR_BYTES[raw]
-        single = np.zeros(len(raw), bool)
-        starts, ends, which = [], [], []
-        near = at
-        for n in self.lengths:
-            near = near[stop[near] - near >= n]
-            h = rolling.runs(near, near + n)
-            some = self.maybe[h >> np.uint64(44)]
-            h, i = h[some], near[some]
-            k = np.searchsorted(self.known, h)
-            k = np.minimum(k, len(self.known) - 1)
-            same = self.known[k] == h
-            i, k = i[same], k[same]
-            same = same_runs(raw, i, self.pieces, self.begin[k], np.full(len(i), n))
-            i, k = i[same], k[same]
-            single[i[own[i] == n]] = True
-            starts.append(i)
-            ends.append(i + n)
-            which.append(k)
+        rank = np.zeros(len(size), np.int64)
+        rank[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        longest = int(size.max()) if len(size) else 0
+        wide = np.cumsum(np.bincount(size, minlength=longest + 1)[::-1])[::-1]  # units with that place
+        block = np.concatenate([[0], np.cumsum(wide)])
+        # bytes of units with a symbol of no byte after each
+        unit = np.repeat(np.arange(len(size)), size + 1)
+        first = edge[:-1] + np.arange(len(size))
+        node = block[np.arange(len(unit)) - first[unit]] + rank[unit]
+        inner = np.ones(len(unit), bool)
+        inner[edge[1:] + np.arange(len(size))] = False
+        symbols = np.full(len(unit), 256, np.int32)
+        symbols[inner] = raw
+        at = np.flatnonzero(inner & ((symbols & 0xC0) != 0x80))
+        own = _CHAR_BYTES[symbols & 0xFF]
+        single = np.zeros(len(unit), bool)
+        found = []
+        for n, (i, which) in enumerate(self.trie.walk(symbols, at), 1):
+            single[i[own.take(i) == n]] = True
+            found.append((node.take(i), node.take(i + n), which))
         bare = at[~single[at]]
-        starts.append(bare)
-        ends.append(np.minimum(bare + own[bare], stop[bare]))
-        which.append(np.full(len(bare), -1))
-        start, end, which = np.concatenate(starts), np.concatenate(ends), np.concatenate(which)
-        unit = unit[start]
-        place = end - edge[unit]
-        order = np.argsort((place << 32) | end, kind="stable")
-        start, end, which, unit, place = start[order], end[order], which[order], unit[order], place[order]
-        weight = np.where(which < 0, self.byte_weight, self.weight[which])
-        a, b = start + unit, end + unit
-        total = np.full(edge[-1] + len(size), -np.inf)
-        total[edge[:-1] + np.arange(len(size))] = 0.0
-        group = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-        steps = np.searchsorted(place[group], np.arange(1, (int(place[-1]) if len(place) else 0) + 2))
-        bound = np.append(group, len(b))
-        for lo, hi in zip(steps[:-1], steps[1:], strict=True):
-            if lo == hi:
-                continue
+        stop = np.minimum(bare + own[bare], (edge[1:] + np.arange(len(size)))[unit[bare]])
+        into = node[stop]
+        count = np.bincount(into, minlength=len(unit))
+        for _, b, _ in found:
+            count[b] += 1  # those of one length have ends of their own
+        bound = np.concatenate([[0], np.cumsum(count)])
+        here = bound[:-1].copy()
+        a, which = np.zeros(bound[-1], np.int64), np.full(bound[-1], -1, np.int32)
+        for from_, b, k in found:
+            to = here.take(b)
+            a[to], which[to] = from_, k
+            here[b] = to + 1
+        order = np.argsort(into, kind="stable")
+        to = here[into[order]] + np.arange(len(order)) - np.searchsorted(into[order], into[order])
+        first_byte, width = np.zeros(len(a), np.int64), np.ones(len(a), np.int64)
+        a[to] = node[bare[order]]
+        first_byte[to], width[to] = (bare - unit[bare])[order], (stop - bare)[order]
+        weight = np.where(which < 0, self.byte_weight, self.weight.take(which))
+        total = np.full(len(unit), -np.inf)
+        total[: block[1]] = 0.0
+        for lo, hi in zip(block[1:-1].tolist(), block[2:].tolist(), strict=True):
             p, q = bound[lo], bound[hi]
-            value = total[a[p:q]] + weight[p:q]
-            own_groups = group[lo:hi] - p
-            most = np.maximum.reduceat(value, own_groups)
-            n = np.diff(np.append(own_groups, q - p))
-            total[b[group[lo:hi]]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), own_groups))
-        share = np.cumsum(np.exp(total[a] + weight - total[b]))
-        rank = np.full(len(total), -1)
-        rank[b[group]] = np.arange(len(group))
-        if len(group):  # the shares at a node sum to one: hold the sums to whole numbers there
-            share[bound[1:] - 1] = np.arange(1, len(group) + 1)
-            np.maximum.accumulate(share, out=share)
-        return a, rank, share, np.where(which < 0, -1, self.id[which]), start, np.where(which < 0, end - start, 1)
+            if p == q:
+                continue
+            value = total.take(a[p:q]) + weight[p:q]
+            n = count[lo:hi]
+            some = np.flatnonzero(n)
+            groups, n = bound[lo:hi][some] - p, n[some]
+            most = np.maximum.reduceat(value, groups)
+            total[lo + some] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, n)), groups))
+        upto = np.exp(total.take(a) + weight - np.repeat(total, count))
+        nodes, k = np.flatnonzero(count > 1), 1
+        while len(nodes):
+            arc = bound.take(nodes) + k
+            upto[arc] += upto.take(arc - 1)
+            k += 1
+            nodes = nodes[count.take(nodes) > k]
+        upto[bound[1:][count > 0] - 1] = 2.0
+        return block[size] + rank, int(block[1]) if len(size) else 0, bound, a, upto, np.where(which < 0, -1, self.id.take(which)), first_byte, width
 
     def encode(self, texts: pa.Array, keys: np.ndarray) -> pa.Array:
         empty = pc.equal(pc.binary_length(texts), 0).fill_null(True)
@@ -181,18 +229,21 @@ class Encoder:
         edge = np.concatenate([[0], np.cumsum(size)])
         bytes_at = np.repeat(begin[one] - edge[:-1], size) + np.arange(edge[-1])
         units = raw[bytes_at]
-        a, rank, share, piece, first_byte, width = self._lattice(units, edge)
+        last, firsts, bound, a, upto, piece, first_byte, width = self._lattice(units, edge)
         # backward sampling, in order of the unit so that neighbours are near
-        who = order
-        node, home = edge[1:][word] + word, edge[:-1][word] + word
+        who, node = order, last[word]
         taken, step = [], 0
         while len(who):
-            u = np.minimum((mix(draw[who] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53, _TOP)
-            arc = np.searchsorted(share, rank[node] + u, side="right")
+            u = (mix(draw.take(who) + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            arc = bound.take(node)
+            on = np.flatnonzero(upto.take(arc) <= u)
+            while len(on):
+                arc[on] += 1
+                on = on[upto.take(arc.take(on)) <= u.take(on)]
             taken.append((who, arc))
-            node = a[arc]
-            on = node != home
-            who, node, home = who[on], node[on], home[on]
+            node = a.take(arc)
+            on = np.flatnonzero(node >= firsts)
+            who, node = who.take(on), node.take(on)
             step += 1
         count = np.zeros(len(begin), np.int64)
         for who, arc in taken:
