@@ -4,8 +4,8 @@ A text is cut where no piece reaches across (before the first of a run of spaces
 piece holds); each unit has a lattice whose arcs are the pieces that match. Forward filtering sums the weights of all
 ways to reach a place; backward sampling draws the last piece of a unit with its share of that sum, then the one before
 it, and so on. All units of a slice are filtered and sampled at once, place by place; a unit that occurs often is
-filtered once. Pieces are found by a double-array trie, a byte of all places at a time. Draws are hashes of the seed, the row's key, the unit's number in the row and the step, so they are the
-same however rows are dealt out.
+filtered once. Pieces are found by a double-array trie, a byte of all places at a time. Draws are hashes of the seed, the
+row's key, the unit's number in the row and the step, so they are the same however rows are dealt out.
 
 A piece's weight is exp(scale * score). A character without a piece of its own becomes its UTF-8 bytes, as does the
 mark that stands for a space in the vocabulary, so that decoding gives the text back byte for byte.
