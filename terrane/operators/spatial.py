@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections import OrderedDict
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,7 +15,7 @@ from pyspark.sql import types as T
 from terrane.functions import shapes
 from terrane.functions.cells import id_range, make_cell
 from terrane.functions.geodesy import bind, haversine, point
-from terrane.operators.cover import cover_box, cover_circle, cover_shape, in_ranges, merge_ranges
+from terrane.operators.cover import cover_box, cover_circle, cover_shapes, in_ranges, merge_ranges, spread
 
 #: What a cell is to a shape: touched, partly covered, covered.
 TOUCH, PART, COVER = 0, 1, 2
@@ -31,17 +33,35 @@ def index_points(df: DataFrame, key: str, lat: Column, lon: Column) -> DataFrame
     return df.select(make_cell(lat, lon).alias("cell_id"), F.lit(4).cast("byte").alias("depth"), F.col(key).alias("pk0"), F.lit(PART).cast("byte").alias("cell_attr")).sortWithinPartitions("cell_id")
 
 
-_RANGES = T.ArrayType(T.StructType([T.StructField("lo", T.LongType()), T.StructField("hi", T.LongType()), T.StructField("attr", T.ByteType())]))
-
-
-def _shape_ranges(kinds: pd.Series, lats: pd.Series, lons: pd.Series, roles: pd.Series) -> pd.Series:
-    def one(kind, lat, lon, role):
-        if kind is None or lat is None:
-            return None
-        whole, part = cover_shape([np.stack([np.asarray(a, float), np.asarray(b, float)], 1) for a, b in zip(lat, lon, strict=True)], list(role), kind in ("Polygon", "MultiPolygon"), SHAPE_CELLS)
-        return [{"lo": lo, "hi": hi, "attr": attr} for ranges, attr in ((whole, COVER), (part, PART)) for lo, hi in ranges]
-
-    return pd.Series([one(*x) for x in zip(kinds, lats, lons, roles, strict=True)], dtype=object)
+def _parts(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """First place and number of what each list holds (nothing for null), and what these are places of."""
+    at = lists.offsets.to_numpy()
+    return at[:-1].astype(np.int64), np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(at)).astype(np.int64), lists.values
+
+
+def _shape_ranges(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """A row for each range of each shape of the batch (pk0, kind, rings, roles), as index_shapes has them."""
+    key, kinds, *_ = batch.columns
+    first, count, rings = _parts(batch.column(2))
+    role_first, role_count, roles = _parts(batch.column(3))
+    count = np.where(kinds.is_null().to_numpy(zero_copy_only=False), 0, count)
+    if (count > 0).any() and (count != role_count)[count > 0].any():
+        raise ValueError("each ring has a role")
+    start, size, points = _parts(rings)
+    owner, i = spread(count)
+    ring, role = first[owner] + i, roles.to_numpy(zero_copy_only=False)[role_first[owner] + i]
+    full = size[ring] > 0
+    owner, ring, role = owner[full], ring[full], role[full]
+    shape, first, count = np.unique(owner, return_index=True, return_counts=True)
+    if not len(shape):
+        return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in schema], schema=schema)
+    # the points of these rings alone, in turn
+    own, i = spread(size[ring])
+    flat = np.stack([x.to_numpy(zero_copy_only=False).astype(float) for x in (points.field("lat"), points.field("lon"))], 1)[start[ring][own] + i]
+    area = pc.is_in(kinds, pa.array(["Polygon", "MultiPolygon"])).to_numpy(zero_copy_only=False)[shape]
+    at, lo, hi, whole = cover_shapes(flat, np.cumsum(size[ring]) - size[ring], size[ring], first, count, role, area, SHAPE_CELLS)
+    attr = np.where(whole, COVER, PART).astype(np.int8)
+    return pa.RecordBatch.from_arrays([key.take(pa.array(shape[at])), pa.array(lo), pa.array(hi), pa.array(attr)], schema=schema)
 
 
 def index_shapes(df: DataFrame, key: str, geography: str) -> DataFrame:
@@ -50,16 +70,23 @@ def index_shapes(df: DataFrame, key: str, geography: str) -> DataFrame:
     Null shapes and such without points have none. A point of a covered cell is in the shape without another test.
     """
     g = F.col(geography)
-    of = lambda name: F.transform(g["rings"], lambda r: F.transform(r, lambda p: p[name]))
-    ranges = F.pandas_udf(_shape_ranges, _RANGES)(g["kind"], of("lat"), of("lon"), g["roles"])
-    return df.select(F.col(key).alias("pk0"), F.explode(ranges).alias("r")).select("pk0", "r.lo", "r.hi", F.col("r.attr").alias("cell_attr"))
+    given = df.select(F.col(key).alias("pk0"), g["kind"].alias("kind"), g["rings"].alias("rings"), g["roles"].alias("roles"))
+    out = T.StructType([given.schema["pk0"], *[T.StructField(n, t, False) for n, t in (("lo", T.LongType()), ("hi", T.LongType()), ("cell_attr", T.ByteType()))]])
+
+    def ranges(batches):
+        for b in batches:
+            schema = pa.schema([b.schema.field(0), ("lo", pa.int64()), ("hi", pa.int64()), ("cell_attr", pa.int8())])
+            yield _shape_ranges(b, schema)
+
+    return given.mapInArrow(ranges, out)
 
 
 def seek_shapes(index: DataFrame, base: DataFrame, key: str, geography: str, box: tuple[float, float, float, float]) -> DataFrame:
     """select_intersects through a stored index_shapes: only shapes with cells in the box's cover are read and tested."""
-    met = [(F.col("lo") <= hi) & (F.col("hi") >= lo) for lo, hi in cover_box(*box)]
-    near = index.where(met[0] if len(met) == 1 else F.exists(F.array(*met), lambda x: x) if met else F.lit(False))
-    return select_intersects(lookup(near, base, key), geography, box)
+    near = index.where(reduce(lambda a, b: a | b, [(F.col("lo") <= hi) & (F.col("hi") >= lo) for lo, hi in cover_box(*box)], F.lit(False)))
+    met = near.groupBy(F.col("pk0").alias(key)).agg(F.count(F.lit(1)).alias("_cells"))
+    # a test that needs both sides stays above the join: Catalyst would put one of the shape alone below it, on every row
+    return base.join(met, key).where(F.when(F.col("_cells") > 0, _intersects(geography, box))).drop("_cells")
 
 
 def attribute_histogram(index: DataFrame) -> DataFrame:
@@ -126,9 +153,11 @@ def nearest(df: DataFrame, lat_column: Column, lon_column: Column, lat: float, l
 
 def select_intersects(df: DataFrame, geography: str, box: tuple[float, float, float, float]) -> DataFrame:
     """Shapes that meet the box; nothing for a null box."""
-    if shapes.box_is_null(*box):
-        return df.where(F.lit(False))
-    return df.where(F.coalesce(shapes.intersects_box(F.col(geography), *box), F.lit(False)))
+    return df.where(_intersects(geography, box))
+
+
+def _intersects(geography: str, box: tuple[float, float, float, float]) -> Column:
+    return F.lit(False) if shapes.box_is_null(*box) else F.coalesce(shapes.intersects_box(F.col(geography), *box), F.lit(False))
 
 
 def select_distance(df: DataFrame, geography: str, lat: float, lon: float, metres: float) -> DataFrame:

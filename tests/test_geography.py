@@ -1,5 +1,6 @@
 import math
 import struct
+import time
 
 import duckdb
 import numpy as np
@@ -152,6 +153,51 @@ def test_shape_covers_hold_and_cover_only_what_is_inside(spark):
         assert seen(spatial.seek_shapes(spatial.index_shapes(df, "k", "g"), df, "k", "g", b)) == seen(spatial.select_intersects(df, "g", b)) != set()
 
 
+def _random_shapes(spark, n):
+    """Squares with a hole and a far square, stars, lines, points, open rings, shapes over poles and edges, and nothing."""
+    rng, rows = np.random.default_rng(11), []
+    for i in range(n):
+        a, b, r = float(rng.uniform(-90, 90)), float(rng.uniform(-180, 180)), float(rng.choice([0.5, 3, 20]))
+        square = lambda r, dx: [(a + y * r, b + dx + x * r) for y, x in ((-1, -1), (-1, 1), (1, 1), (1, -1), (-1, -1))]  # noqa: B023, E731
+        star = [(a + r * k % 3 / 3 * math.sin(k), b + r * math.cos(k)) for k in range(6)]
+        rows.append((i, [("MultiPolygon", [square(r, 0), square(r / 2, 0), [], square(r, 3 * r)], [0, 1, 1, 0]), ("Polygon", [star + star[:1]], [0]), ("Polygon", [star], [0]), ("LineString", [star], [0]), ("Point", [[(a, b)]], [0]), ("Polygon", [], []), (None, None, None), None][i % 8]))
+    return spark.createDataFrame(rows, f"k int, g {shapes.SHAPE}").coalesce(1)
+
+
+def _indexed(spark, df, key, batch):
+    """The index's rows and the seconds that it took, with so many shapes in a batch."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(size)
+    try:
+        spark.conf.set(size, str(batch))
+        start = time.perf_counter()
+        return [tuple(r) for r in spatial.index_shapes(df, key, "g").collect()], time.perf_counter() - start
+    finally:
+        spark.conf.set(size, held)
+
+
+def test_shapes_of_a_batch_have_the_cells_that_each_has_alone(spark):
+    df = _random_shapes(spark, 64)
+    together, alone = (_indexed(spark, df, "k", n)[0] for n in (64, 1))
+    assert sorted(together) == sorted(alone) and len(set(alone)) == len(alone) and {k for k, *_ in alone} == {k for k in range(64) if k % 8 < 5}
+    assert spatial.index_shapes(df.where("k % 8 > 4"), "k", "g").collect() == []
+
+
+def test_shapes_go_down_together_and_only_found_ones_are_tested(spark):
+    """A batch of 3,000 shapes took almost as long as 3,000 batches of one: numpy calls for each shape."""
+    from terrane.queries import _squares
+
+    place = F.col("id") * 7919
+    df = _squares(spark.range(0, 3000, 1, 1).select("id", (place % 15000 / 100 - 75).alias("lat"), (place * 13 % 30000 / 100 - 150).alias("lon")), "id").select("id", "g")
+    (_, first), (alone, one_by_one), (together, at_once) = (_indexed(spark, df, "id", n) for n in (3000, 1, 3000))
+    assert sorted(together) == sorted(alone) and min(first, at_once) * 3 < one_by_one
+    index = spatial.index_shapes(df, "id", "g").localCheckpoint()
+    box = (10.003, 20.003, 20.003, 40.003)
+    found = spatial.seek_shapes(index, df, "id", "g", box)
+    assert not [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in x and "flatten" in x]
+    assert sorted(r.id for r in found.select("id").collect()) == sorted(r.id for r in spatial.select_intersects(df, "g", box).select("id").collect()) != []
+
+
 def test_stored_cells_change_no_result(spark):
     from terrane.plans.predicates import IGNORE, USE, STContains, STDistance, STIntersects
     from terrane.plans.query import Select
